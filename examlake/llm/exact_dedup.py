@@ -24,7 +24,7 @@ def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def block_identities(docs: DataFrame, block_chars: int = 4096, hash_of=F.xxhash64) -> DataFrame:
+def block_identities(docs: DataFrame, block_chars: int = 8192, hash_of=F.xxhash64) -> DataFrame:
     """One row per input row: row, doc_id, chars, text_sha256, blocks, name.
 
     (blocks, name) identifies the normalised text without collisions. A null
@@ -42,8 +42,7 @@ def block_identities(docs: DataFrame, block_chars: int = 4096, hash_of=F.xxhash6
     names = materialize(
         distinct.sortWithinPartitions("block").select("h", "block", F.monotonically_increasing_id().alias("name")), "blocks"
     )
-    shared = materialize(names.groupBy("h").count().filter("count > 1").select("h"), "shared")
-    collide = not shared.isEmpty()
+    shared = names.groupBy("h").count().filter("count > 1").select("h")
 
     found = (
         texts.withColumn("row", F.monotonically_increasing_id())
@@ -60,7 +59,7 @@ def block_identities(docs: DataFrame, block_chars: int = 4096, hash_of=F.xxhash6
         .withColumn("text_sha256", F.when(F.col("pos") == 0, F.col("text_sha256")))
         .withColumn("h", hash_of("block"))
     )
-    if collide:  # distinct blocks with one hash
+    if not shared.isEmpty():  # distinct blocks with one hash
         mark = shared.withColumn("shared", F.lit(True))
         own = F.when(F.col("shared"), F.col("block")).otherwise(F.lit(""))
         found = found.join(mark, "h", "left").withColumn("own", own).drop("block", "shared")
@@ -69,7 +68,7 @@ def block_identities(docs: DataFrame, block_chars: int = 4096, hash_of=F.xxhash6
     else:
         found = found.drop("block").join(names.select("h", "name"), "h")
     base = materialize(found.select("row", "doc_id", "chars", "blocks", "text_sha256", "pos", "name"), "occurrences")
-    discard(names, shared)
+    discard(names)
 
     heads = base.filter("pos = 0").select("row", "doc_id", "chars", "text_sha256", "blocks")
     done = base.filter("blocks = 1").select("row", "doc_id", "chars", "text_sha256", "blocks", "name")
@@ -97,7 +96,7 @@ def block_identities(docs: DataFrame, block_chars: int = 4096, hash_of=F.xxhash6
     return done.unionByName(heads.filter("blocks > 1").join(named, "row"))
 
 
-def exact_dedup(docs: DataFrame, block_chars: int = 4096) -> DataFrame:
+def exact_dedup(docs: DataFrame, block_chars: int = 8192) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
 
     Texts are equal when identical without white space (space, tab to carriage
@@ -107,7 +106,7 @@ def exact_dedup(docs: DataFrame, block_chars: int = 4096) -> DataFrame:
     group. Repeated rows are members like others and exactly one row of a group
     is kept. An empty table gives an empty result. Other columns are not read.
     """
-    ident = materialize(block_identities(docs, block_chars), "identities")
+    ident = block_identities(docs, block_chars)
     groups = materialize(
         ident.groupBy("blocks", "name")
         .agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").alias("keep_id"), "row")).alias("first"))

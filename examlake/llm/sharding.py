@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, unit_hash
+from .common import unit_hash
 
 SHARDS_PER_RACK = 2
 RACKS_PER_REGION = 2
@@ -98,15 +98,14 @@ def placement(docs: DataFrame, tree: Node, rows_per_bucket: int = 20_000, copies
     Other columns of docs are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = materialize(
+    rows = (
         docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
         .groupBy("doc_id", "size", "text_crc32")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("shard", shard_of(tree, F.col("doc_id")).cast("int"))
-        .withColumn("grown_shard", shard_of(grow(tree), F.col("doc_id")).cast("int")),
-        "placement",
+        .withColumn("grown_shard", shard_of(grow(tree), F.col("doc_id")).cast("int"))
     )
-    buckets = max(1, -(-rows.count() // (rows_per_bucket * len(leaves(tree)))))
+    buckets = max(1, -(-docs.count() // (rows_per_bucket * len(leaves(tree)))))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
