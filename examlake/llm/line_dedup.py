@@ -135,7 +135,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every column of docs with the text freed of later copies of repeated line runs, and removed_lines.
 
     Lines are compared without white space at their ends; blank lines are no
-    lines of a run, but go with a run that surrounds them. The first copy in the
+    lines of a run, but one between two deleted lines goes with them. The first copy in the
     order of doc_id (null first), then a hash of the text, then the line stays;
     copies within one document count too, overlapping ones included. A run has
     to have min_words words at least (words are parted by ASCII white space).

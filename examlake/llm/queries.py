@@ -5,12 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing, sharding, topk, url_filter
+from . import exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, sharding, topk, url_filter
 
 SHARDS = 8
 
 
+def tokenizer_path(name: str = packing.VOCABULARY) -> str:
+    """Where the public vocabulary files lie; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,6 +27,19 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with all evidence, and all documents with what they have of it (declared language and source)."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    model = language_id.fit_text_model(docs)
+    of_docs = language_id.identify(language_id.document_evidence(docs), model)
+    of_pages = language_id.identify(language_id.page_evidence(pages), model)
+    cols = ["language", "probability", "accepted", "declared", "text_language"]
+    none = F.lit(None).cast("long")
+    return of_docs.select(F.col("id").alias("doc_id"), none.alias("page_id"), *cols).unionByName(
+        of_pages.select(none.alias("doc_id"), F.col("id").alias("page_id"), *cols)
+    )
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
     return topk.search(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -40,6 +61,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
