@@ -1,0 +1,45 @@
+"""One configuration for the whole engine."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+
+@dataclass(frozen=True)
+class EngineConfig:
+    """Thresholds and switches; the defaults are those of the documented behaviour."""
+
+    file_glob: str = "Questions_*.pdf"
+    look_back: int = 20
+    look_ahead: int = 50
+    min_context_chars: int = 16
+    min_block_chars: int = 50
+    min_confidence: float = 0.3
+    max_questions: int | None = None
+    duplicate_threshold: tuple[int, int] = (4, 5)
+    rule_set: str = "safe"
+    enhance: tuple[str, ...] = ("page_breaks", "ocr", "format", "grammar", "terms", "cleanup")
+    use_model: bool = True
+    requests_per_minute: int = 50
+    model_attempts: int = 3
+    description_chars: int = 200
+    options_chars: int = 300
+    report_rows: int = 20
+    columns: tuple[str, ...] = field(
+        default=(
+            "Question No",
+            "Question Description",
+            "Answer Options",
+            "Community Answer",
+            "Highly Voted Answer",
+            "Most Recent Answer",
+            "Model Answer",
+            "Latest Date",
+            "Topic",
+            "Page Number",
+            "Source",
+        )
+    )
+
+
+DEFAULT = EngineConfig()
