@@ -32,17 +32,22 @@ MOST_EVIDENCE = 64.0
 SMOOTH = 5.0
 
 
-def trigram_slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's hashed byte trigrams, lower-cased and with a space at either end, and where each text's begin."""
+#: Byte table: digits, ASCII punctuation and white space to spaces; they tell no language.
+_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
+
+
+def trigram_slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's hashed byte trigrams, lower-cased and with a space at either end; where each text's begin; its letters' bytes."""
     low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
     low = pc.binary_join_element_wise(none, low, none, space)  # a space at either end: every text has a trigram
     offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
-    raw = np.frombuffer(low.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint32)
-    raw = np.concatenate([raw, np.full(2, 32, np.uint32)])
+    offsets, body = offsets - offsets[0], low.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]].translate(_LETTERS) if len(low) else b""
+    raw = np.frombuffer(body + b"  ", np.uint8).astype(np.uint32)
+    letters = np.concatenate([[0], np.cumsum(raw != 32)])[offsets]
     code = (raw[:-2] << np.uint32(16)) | (raw[1:-1] << np.uint32(8)) | raw[2:]
     code *= np.uint32(2654435761)
-    return (code >> np.uint32(16)).astype(np.int64), offsets - offsets[0]
+    return (code >> np.uint32(16)).astype(np.int64), offsets, np.diff(letters)
 
 
 @dataclass
@@ -55,19 +60,18 @@ class TextModel:
         languages = sorted({lang for _, lang in rows})
         table = np.full((SLOTS, len(languages) + 1), -np.log(SLOTS), np.float32)
         for i, lang in enumerate(languages):
-            slots, _ = trigram_slots(pa.array([t for t, x in rows if x == lang], pa.string()))
+            slots, _, _ = trigram_slots(pa.array([t for t, x in rows if x == lang], pa.string()))
             n = np.bincount(slots, minlength=SLOTS) + alpha
             table[:, i] = np.log(n / n.sum())
         return cls(languages, table)
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log-likelihood of a trigram under each language and none [texts, languages + 1], and the number of trigrams."""
-        slots, begin = trigram_slots(texts)
-        n = np.diff(begin)
-        if not len(n):
-            return np.zeros((0, len(self.languages) + 1)), n
+        """Mean log-likelihood of a trigram under each language and none [texts, languages + 1], and each text's bytes of letters."""
+        slots, begin, letters = trigram_slots(texts)
+        if not len(letters):
+            return np.zeros((0, len(self.languages) + 1)), letters
         sums = np.add.reduceat(self.log_prob[slots[: begin[-1]]], begin[:-1], axis=0)
-        return sums.astype(np.float64) / n[:, None], n
+        return sums.astype(np.float64) / np.diff(begin)[:, None], letters
 
 
 def fit_text_model(labelled: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", label: str = "lang") -> TextModel:
@@ -115,9 +119,9 @@ def identify(rows: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame
 
     rows has id, text, declared, host, suffix (see page_evidence). A row is
     accepted if its text is likelier under its language than under a uniform
-    model and its posterior is ``least`` or more. A null or blank text has no
-    likelihood: its language comes from the other evidence, and it isn't
-    accepted. Missing evidence (null) counts as none. Repeated rows repeat; an
+    model and its posterior is ``least`` or more. A text without a letter (or a
+    null) has no likelihood: its language comes from the other evidence, and it
+    isn't accepted. Missing evidence (null) counts as none. Repeated rows repeat; an
     empty table gives an empty result. Other columns of rows pass through if
     their names start with ``keep_``.
     """
@@ -133,10 +137,9 @@ def identify(rows: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame
             texts = batch.column(batch.schema.get_field_index("text"))
             for at, size in slices_by_bytes(texts, 2_000_000):
                 part = texts.slice(at, size)
-                mean, _ = m.scores(part)
-                length = pc.fill_null(pc.utf8_length(pc.utf8_trim_whitespace(part)), 0).to_numpy(zero_copy_only=False)
+                mean, letters = m.scores(part)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index(f.name)).slice(at, size) for f in kept] + [pa.array(list(mean), pa.list_(pa.float64())), pa.array(length, pa.int64())],
+                    [batch.column(batch.schema.get_field_index(f.name)).slice(at, size) for f in kept] + [pa.array(list(mean), pa.list_(pa.float64())), pa.array(letters, pa.int64())],
                     [f.name for f in kept] + ["mean", "letters"],
                 )
 
