@@ -150,7 +150,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"))
     text = F.col("doc")["text"]
     rows = rows.withColumn("did", F.coalesce(F.col("doc")["doc_id"].cast("long"), F.lit(NULL_ID))).withColumn("th", F.xxhash64(F.coalesce(text, F.lit(""))))
-    rows = rows.join(runs, (F.col("did") == F.col("run_did")) & (F.col("th") == F.col("run_th")), "left")
+    # always a merge join: it costs in proportion at every size, and no list of runs has to fit anywhere
+    rows = rows.join(runs.hint("merge"), (F.col("did") == F.col("run_did")) & (F.col("th") == F.col("run_th")), "left")
     left = F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
     new = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(left, "\n"))
     gone = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
