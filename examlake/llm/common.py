@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -43,13 +44,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that no later plan reads."""
+    """Delete tables of materialize() that no later plan reads, and let Spark drop shuffle files that nothing refers to."""
     for t in tables:
         path = getattr(t, "_table_path", None)
         if path:
             jvm = t.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def lower_ascii(c: Column) -> Column:
@@ -62,7 +66,11 @@ def unit_hash(*cols: Column) -> Column:
     return (h + F.lit(0.5)) * F.lit(2.0**-53)
 
 
-def quiet_threads() -> None:
-    """Keep libraries in Python workers to one thread each."""
+def quiet_worker() -> None:
+    """Keep libraries in a Python worker to one thread each, and Arrow to an allocator that gives memory back."""
+    import pyarrow as pa
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
+    pa.set_cpu_count(1)
+    pa.set_memory_pool(pa.system_memory_pool())

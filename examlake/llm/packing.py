@@ -147,7 +147,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         encoder = WordEncoder(tokenizer_path)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            for at, n in slices_by_bytes(texts):
+            for at, n in slices_by_bytes(texts, 16_000_000):
                 ids, begin = encoder.encode(texts.slice(at, n))
                 totals, whole, rest = [], [], []
                 for i in range(n):
