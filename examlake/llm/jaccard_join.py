@@ -41,6 +41,8 @@ SIMILAR = (75, 100)
 FREQUENT = 1 << 18
 #: Shingles counted together before they are sent on, and candidates up to which a list of ids is broadcast.
 COUNTED_ROWS, BROADCAST_ROWS = 4_000_000, 1_000_000
+#: Bytes of text that are shingled at once.
+SLICE = 8_000_000
 
 
 def frequent_shingles(docs: DataFrame, words: int = WORDS, least: int = 8, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +61,7 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS, least: int = 8, most:
 
         for batch in batches:
             texts = batch.column(0)
-            for at, rows in slices_by_bytes(texts):
+            for at, rows in slices_by_bytes(texts, SLICE):
                 for s in shingler.sets(texts.slice(at, rows)):
                     held.append(s)
                     size += len(s)
@@ -84,18 +86,18 @@ class Order:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def ordered(self, s: np.ndarray) -> np.ndarray:
-        """A sorted set in the global order: by frequency (0 unless listed), then hash."""
+    def ordered(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """A sorted set in the global order, by frequency (0 unless listed), then hash; and how many aren't listed."""
         if not len(self.hashes):
-            return s
+            return s, len(s)
         may = np.flatnonzero(self.maybe[(s & np.uint64((1 << 22) - 1)).astype(np.int64)])
         if not len(may):
-            return s
+            return s, len(s)
         at = np.minimum(np.searchsorted(self.hashes, s[may]), len(self.hashes) - 1)
         listed = self.hashes[at] == s[may]
         n = np.zeros(len(s), np.int64)
         n[may[listed]] = self.counts[at[listed]]
-        return s[np.argsort(n, kind="stable")]
+        return s[np.argsort(n, kind="stable")], len(s) - int(listed.sum())
 
 
 def _digest(data: bytes) -> tuple[int, int]:
@@ -104,33 +106,40 @@ def _digest(data: bytes) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """doc_id, th (hash of the text), n, f1 and f2 (of the whole set), gkey (of size and prefix), prefix, for every row."""
+    """doc_id, th (hash of the text), n, f1 and f2 (of the whole set), gkey (of size and prefix), rare, prefix, for every row.
+
+    rare is the number of shingles that aren't frequent: among near copies, the
+    text that the others were made of has the least. A task gives a group's
+    prefix with the first of its rows only.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(order)  # FREQUENT entries at most
     num, den = similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, rank = Shingler(words), Order(*shared.value)
+        shingler, rank, seen = Shingler(words), Order(*shared.value), set()
         for batch in batches:
             texts = batch.column(2)
-            for at, rows in slices_by_bytes(texts):
-                n, f1, f2, g, prefix = [], [], [], [], []
+            for at, rows in slices_by_bytes(texts, SLICE):
+                n, f1, f2, g, r, prefix = [], [], [], [], [], []
                 for s in shingler.sets(texts.slice(at, rows)):
                     size = len(s)
-                    p = rank.ordered(s)[: size - -(-num * size // den) + 1] if size else s
+                    p, rare = rank.ordered(s)
+                    p = p[: size - -(-num * size // den) + 1] if size else p
                     a, b = _digest(s.tobytes())
-                    n.append(size), f1.append(a), f2.append(b)
+                    n.append(size), f1.append(a), f2.append(b), r.append(rare)
                     g.append(_digest(size.to_bytes(8, "little") + p.tobytes())[0])
-                    prefix.append(p.view(np.int64))
+                    prefix.append(p[:0].view(np.int64) if g[-1] in seen else p.view(np.int64))
+                    seen.add(g[-1])
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, rows), batch.column(1).slice(at, rows)] + [pa.array(x, pa.int64()) for x in (n, f1, f2, g)] + [lists],
-                    ["doc_id", "th", "n", "f1", "f2", "gkey", "prefix"],
+                    [batch.column(0).slice(at, rows), batch.column(1).slice(at, rows)] + [pa.array(x, pa.int64()) for x in (n, f1, f2, g, r)] + [lists],
+                    ["doc_id", "th", "n", "f1", "f2", "gkey", "rare", "prefix"],
                 )
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, f1 long, f2 long, gkey long, prefix array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, f1 long, f2 long, gkey long, rare long, prefix array<long>")
 
 
 def may_link(n: Column, i: Column, m: Column, j: Column, similar: tuple[int, int] = SIMILAR) -> Column:
@@ -156,7 +165,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similar: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, head = Shingler(words), np.zeros(0, np.uint64)
         for batch in batches:
-            for at, size in slices_by_bytes(batch.column(3)):
+            for at, size in slices_by_bytes(batch.column(3), SLICE):
                 part = batch.slice(at, size)
                 found = []
                 cols = (part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), shingler.sets(part.column(3)))
@@ -194,17 +203,18 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     sig = materialize(signatures(docs, order, words, similar), "signatures")
     # one node for each distinct set; row: a document that holds it
     row = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("th"))
-    nodes = sig.filter("n > 0").groupBy("f1", "f2").agg(F.min(row).alias("row"), F.min("n").alias("n"), F.min("gkey").alias("gkey"))
+    nodes = sig.filter("n > 0").groupBy("f1", "f2").agg(F.min(row).alias("row"), F.min("n").alias("n"), F.min("gkey").alias("gkey"), F.min("rare").alias("rare"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    group = F.struct("node", "n")
+    group = F.struct("rare", "node", "n")
     groups = materialize(nodes.groupBy("gkey").agg(F.min(group).alias("head"), F.count(F.lit(1)).alias("members")), "groups")
 
-    # shingles that two groups hold in their prefixes; each group's row has the least group of its shingle
-    tokens = sig.select("gkey", "n", F.posexplode("prefix").alias("pos", "token"))
+    # shingles that two groups hold in their prefixes; each row has the shingle's group of the fewest rare ones
+    tokens = sig.select("gkey", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
     by_token = Window.partitionBy("token")
-    me = F.struct("gkey", "n", "pos")
-    tokens = tokens.withColumn("least", F.min(me).over(by_token)).withColumn("most", F.max("gkey").over(by_token))
-    tokens = materialize(tokens.filter("least.gkey < most").drop("most"), "tokens")
+    me = F.struct("rare", "gkey", "n", "pos")
+    tokens = tokens.withColumn("least", F.min(me).over(by_token)).withColumn("lo", F.min("gkey").over(by_token)).withColumn("hi", F.max("gkey").over(by_token))
+    tokens = materialize(tokens.filter("lo < hi").drop("lo", "hi", "rare"), "tokens")
+    discard()
     star = tokens.filter("gkey <> least.gkey").filter(may_link(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos"), similar))
     pairs = star.select(F.col("least.gkey").alias("ga"), F.col("gkey").alias("gb")).distinct()
     heads = groups.select("gkey", F.col("head.node").alias("node"))

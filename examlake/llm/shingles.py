@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+
+from .common import quiet_worker
 
 _WHITE = bytes(range(9, 14))
 #: Byte table: A-Z to a-z, and each of the white-space bytes to a space.
@@ -20,10 +22,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-
-
 class Shingler:
     """Turns texts into sorted sets of 64-bit shingle hashes.
 
@@ -32,21 +30,13 @@ class Shingler:
     null text or one without words has none.
     """
 
-    def __init__(self, words: int = 5, remember: int = 500_000) -> None:
-        self.words, self.remember = words, remember
-        self.known: dict[str, int] = {}
+    def __init__(self, words: int = 5) -> None:
+        quiet_worker()
+        self.words = words
 
-    def _hashes(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
-        out = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = _word_hash(w)
-            out[i] = h
-        return out
+    @staticmethod
+    def _hashes(words: list[str]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
     def raw(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' shingle hashes, repeated ones included, in order, and where each text's begin (one more than texts)."""
@@ -55,7 +45,7 @@ class Shingler:
         data = texts.buffers()[2]
         body = data.to_pybytes()[offsets[0] : offsets[-1]].translate(_TABLE) if data is not None else b""
         clean = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer((offsets - offsets[0]).astype(np.int64).tobytes()), pa.py_buffer(body)])
-        parts = pa.compute.split_pattern(clean, " ")
+        parts = pc.split_pattern(clean, " ")
         bounds = parts.offsets.to_numpy().astype(np.int64)
         flat = parts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
