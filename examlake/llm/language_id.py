@@ -37,10 +37,10 @@ _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c
 
 
 def trigram_slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's hashed byte trigrams, lower-cased and with a space at either end; where each text's begin; its letters' bytes."""
+    """Each text's hashed byte trigrams, lower-cased and between spaces; where each text's begin; its letters' bytes."""
     low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
-    low = pc.binary_join_element_wise(none, low, none, space)  # a space at either end: every text has a trigram
+    none, one, two = (pa.scalar(" " * k, pa.large_string()) for k in range(3))
+    low = pc.binary_join_element_wise(two, low, one, none)  # so that no text's trigrams depend on the next text
     offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
     offsets, body = offsets - offsets[0], low.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]].translate(_LETTERS) if len(low) else b""
     raw = np.frombuffer(body + b"  ", np.uint8).astype(np.uint32)
