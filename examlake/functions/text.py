@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ from .. import rules as R
 _MARK = "\x01"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f uses it."""
+    return F.transform(F.array(c), lambda x: f(x))[0]
+
+
 def fold(c: Column, table: Iterable[tuple[str, str]], flags: str = "") -> Column:
     """Apply (pattern, replacement) rules one after the other."""
     for pattern, new in table:
@@ -24,8 +29,8 @@ def fold(c: Column, table: Iterable[tuple[str, str]], flags: str = "") -> Column
 def guarded_fold(c: Column, table: Iterable[tuple[str, str]], flags: str = "(?i)") -> Column:
     """fold(), but a text that no rule can touch costs one search only. Every rule's pattern must be able to match in the original text."""
     table = tuple(table)
-    may = c.rlike(flags + "|".join(f"(?:{p})" for p, _ in table))
-    return F.when(may, fold(c, table, flags)).otherwise(c)
+    any_of = flags + "|".join(f"(?:{p})" for p, _ in table)
+    return let(c, lambda x: F.when(x.rlike(any_of), fold(x, table, flags)).otherwise(x))
 
 
 def strip(c: Column) -> Column:
@@ -80,8 +85,12 @@ def standardize(c: Column) -> Column:
     c = F.regexp_replace(squeeze(c), r"^[*+\-]\s*", "• ")
     c = F.regexp_replace(c, r"(?i)question\s*#?\s*(\d+)", "Question #$1")
     c = F.regexp_replace(c, r"(?i)topic\s*(\d+)", "Topic $1")
-    lead = F.regexp_extract(c, r"^([A-Fa-f])[.)]\s*", 0)
-    return F.when(lead != "", F.concat(F.upper(F.left(c, F.lit(1))), F.lit(". "), F.substring(c, F.length(lead) + 1, F.length(c)))).otherwise(c)
+
+    def letter(x: Column) -> Column:
+        lead = F.regexp_extract(x, r"^([A-Fa-f])[.)]\s*", 0)
+        return F.when(lead != "", F.concat(F.upper(F.left(x, F.lit(1))), F.lit(". "), F.substring(x, F.length(lead) + 1, F.length(x)))).otherwise(x)
+
+    return let(c, letter)
 
 
 def capitalize(c: Column) -> Column:
@@ -105,8 +114,7 @@ def case_terms(c: Column, rule_set: str = "safe") -> Column:
 
 def final_clean(c: Column) -> Column:
     """Runs of punctuation, spaces around it, and a full stop after more than 20 characters without an end mark."""
-    c = strip(fold(c, R.FINAL_CLEAN))
-    return F.when((F.length(c) > 20) & ~c.rlike(r"[.!?]$"), F.concat(c, F.lit("."))).otherwise(c)
+    return let(strip(fold(c, R.FINAL_CLEAN)), lambda x: F.when((F.length(x) > 20) & ~x.rlike(r"[.!?]$"), F.concat(x, F.lit("."))).otherwise(x))
 
 
 STEPS = ("page_breaks", "ocr", "format", "grammar", "terms", "cleanup")
@@ -125,21 +133,21 @@ def enhance(c: Column, steps: Iterable[str] = STEPS, rule_set: str = "safe") ->
         ("cleanup", final_clean),
     ):
         if name in steps:
-            c = step(c)
+            c = let(c, step)
     return c
 
 
 def enhance_question(c: Column, steps: Iterable[str] = STEPS, rule_set: str = "safe") -> Column:
     """Without a leading ``Question #N``, with a question mark if nothing ends it, then enhance()."""
     c = strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)^Question\s*#?\d+\.?\s*", ""))
-    c = F.when((c != "") & ~c.rlike(r"[?!.]$"), F.concat(c, F.lit("?"))).otherwise(c)
-    return F.when(c == "", F.lit("")).otherwise(enhance(c, steps, rule_set))
+    ended = let(c, lambda x: F.when((x != "") & ~x.rlike(r"[?!.]$"), F.concat(x, F.lit("?"))).otherwise(x))
+    return let(ended, lambda x: F.when(x == "", F.lit("")).otherwise(enhance(x, steps, rule_set)))
 
 
 def enhance_option(c: Column, steps: Iterable[str] = STEPS, rule_set: str = "safe") -> Column:
     """Without its letter, with a capital first, then enhance()."""
     c = strip(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"^[A-F][.)]\s*", ""))
-    return F.when(c == "", F.lit("")).otherwise(enhance(capitalize(c), steps, rule_set))
+    return let(c, lambda x: F.when(x == "", F.lit("")).otherwise(enhance(capitalize(x), steps, rule_set)))
 
 
 def repair_encoding(c: Column, rule_set: str = "safe") -> Column:

@@ -59,7 +59,7 @@ OCR_SPACES = (
 )
 # Like the spacing rules, but numbers, times, file names and addresses keep their form.
 OCR_SPACES_SAFE = (
-    (r"\s+(?=[.,;:](?:\s|$))", ""),
+    (r"\s+(?=[,;]|[.:](?:\s|$))", ""),
     (r"([,;])(?=[A-Za-z])", "$1 "),
     (r"(\w)\s*\n\s*(\w)", "$1 $2"),
 )
