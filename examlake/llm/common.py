@@ -43,8 +43,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that nothing refers to any more (it does so only after the driver collects garbage)."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that no later plan reads, and let Spark drop shuffle files that nothing refers to."""
+    """Delete tables of materialize() that no later plan reads, and the shuffle files of what is gone."""
     for t in tables:
         path = getattr(t, "_table_path", None)
         if path:
@@ -52,8 +58,7 @@ def discard(*tables: DataFrame) -> None:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        release(tables[0].sparkSession)
 
 
 def lower_ascii(c: Column) -> Column:

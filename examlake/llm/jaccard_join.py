@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialize
+from .common import discard, materialize, release
 from .components import connected_components
 from .shingles import Shingler, overlap
 from .tokens import slices_by_bytes
@@ -40,9 +40,11 @@ SIMILAR = (75, 100)
 #: At most so many frequent shingles go last in the order. Any number gives the same result; it only steers how many candidates there are.
 FREQUENT = 1 << 18
 #: Shingles counted together before they are sent on, and candidates up to which a list of ids is broadcast.
-COUNTED_ROWS, BROADCAST_ROWS = 4_000_000, 1_000_000
+COUNTED_ROWS, BROADCAST_ROWS = 2_000_000, 1_000_000
 #: Bytes of text that are shingled at once.
 SLICE = 8_000_000
+#: Rows that share a frequent shingle and meet in one task.
+TOKEN_ROWS = 5_000
 
 
 def frequent_shingles(docs: DataFrame, words: int = WORDS, least: int = 8, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -86,18 +88,17 @@ class Order:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def ordered(self, s: np.ndarray) -> tuple[np.ndarray, int]:
-        """A sorted set in the global order, by frequency (0 unless listed), then hash; and how many aren't listed."""
-        if not len(self.hashes):
-            return s, len(s)
+    def ordered(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """A sorted set in the global order, by frequency (0 unless listed), then hash; the frequencies; and how many aren't listed."""
         may = np.flatnonzero(self.maybe[(s & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        if not len(may):
-            return s, len(s)
+        if not len(self.hashes) or not len(may):
+            return s, np.zeros(len(s), np.int64), len(s)
         at = np.minimum(np.searchsorted(self.hashes, s[may]), len(self.hashes) - 1)
         listed = self.hashes[at] == s[may]
         n = np.zeros(len(s), np.int64)
         n[may[listed]] = self.counts[at[listed]]
-        return s[np.argsort(n, kind="stable")], len(s) - int(listed.sum())
+        order = np.argsort(n, kind="stable")
+        return s[order], n[order], len(s) - int(listed.sum())
 
 
 def _digest(data: bytes) -> tuple[int, int]:
@@ -109,8 +110,9 @@ def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], words: int
     """doc_id, th (hash of the text), n, f1 and f2 (of the whole set), gkey (of size and prefix), rare, prefix, for every row.
 
     rare is the number of shingles that aren't frequent: among near copies, the
-    text that the others were made of has the least. A task gives a group's
-    prefix with the first of its rows only.
+    text that the others were made of has the least. Each shingle of prefix has
+    a number of parts to deal the rows that share it to, by how frequent it is.
+    A task gives a group's prefix with the first of its rows only.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(order)  # FREQUENT entries at most
@@ -121,25 +123,28 @@ def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], words: int
         for batch in batches:
             texts = batch.column(2)
             for at, rows in slices_by_bytes(texts, SLICE):
-                n, f1, f2, g, r, prefix = [], [], [], [], [], []
+                n, f1, f2, g, r, prefix, parts = [], [], [], [], [], [], []
                 for s in shingler.sets(texts.slice(at, rows)):
                     size = len(s)
-                    p, rare = rank.ordered(s)
-                    p = p[: size - -(-num * size // den) + 1] if size else p
+                    p, often, rare = rank.ordered(s)
+                    room = size - -(-num * size // den) + 1 if size else 0
+                    p, often = p[:room], often[:room]
                     a, b = _digest(s.tobytes())
                     n.append(size), f1.append(a), f2.append(b), r.append(rare)
                     g.append(_digest(size.to_bytes(8, "little") + p.tobytes())[0])
-                    prefix.append(p[:0].view(np.int64) if g[-1] in seen else p.view(np.int64))
+                    room = 0 if g[-1] in seen else room
+                    prefix.append(p[:room].view(np.int64)), parts.append(-(-often[:room] // TOKEN_ROWS))
                     seen.add(g[-1])
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))
+                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(prefix)), pa.array(np.concatenate(parts).astype(np.int32))], ["token", "parts"])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pairs)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, rows), batch.column(1).slice(at, rows)] + [pa.array(x, pa.int64()) for x in (n, f1, f2, g, r)] + [lists],
                     ["doc_id", "th", "n", "f1", "f2", "gkey", "rare", "prefix"],
                 )
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, f1 long, f2 long, gkey long, rare long, prefix array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, f1 long, f2 long, gkey long, rare long, prefix array<struct<token:long,parts:int>>")
 
 
 def may_link(n: Column, i: Column, m: Column, j: Column, similar: tuple[int, int] = SIMILAR) -> Column:
@@ -148,18 +153,23 @@ def may_link(n: Column, i: Column, m: Column, j: Column, similar: tuple[int, int
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & ((F.least(n - i, m - j)) * (num + den) >= num * (n + m))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR, chunk: int = 64) -> DataFrame:
-    """The rows of pairs (a, b: long) whose texts (node, text) link.
+def verified(
+    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR, chunk: int = 64
+) -> DataFrame:
+    """The rows of pairs (a, b: long) whose nodes' documents link.
 
     The members b of an a are dealt into chunks, each with a's text once, so a
-    node with very many partners is spread over tasks.
+    node with very many partners is spread over tasks. Texts are read from docs
+    and cross one shuffle, to where their pairs are.
     """
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / chunk)).alias("part"))
     asked = dealt.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("node")).distinct().unionByName(dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("node")))
-    rows = asked.join(texts, "node")
+    asked = materialize(asked.join(nodes, "node").select("a", "part", "role", "node", F.col("row.doc_id").alias("d"), F.col("row.th").alias("t")), "asked")
+    few = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).join(few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", "role").select("a", "role", "node", "text")
+    rows = rows.select("a", "part", "role", "node", "text").repartition(n, "a", "part").sortWithinPartitions("a", "part", "role").select("a", "role", "node", "text")
     num, den = similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +191,6 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similar: tu
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """ids, to be broadcast if they are few enough."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 def jaccard_join(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """doc_id, th, n_shingles, component_id, kept for every row of docs.
 
@@ -208,40 +213,35 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     group = F.struct("rare", "node", "n")
     groups = materialize(nodes.groupBy("gkey").agg(F.min(group).alias("head"), F.count(F.lit(1)).alias("members")), "groups")
 
-    # shingles that two groups hold in their prefixes; each row has the shingle's group of the fewest rare ones
-    tokens = sig.select("gkey", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token")
+    # shingles that two groups hold in their prefixes; each row has its shingle's group of the fewest rare ones, or
+    # that of its part, where the rows of a shingle are dealt to several
+    tokens = sig.select("gkey", "n", "rare", F.posexplode("prefix").alias("pos", "x")).select("gkey", "n", "rare", "pos", "x.token", "x.parts")
+    tokens = tokens.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("gkey"), F.col("parts"))).otherwise(F.lit(0)))
+    by_token = Window.partitionBy("token", "part")
     me = F.struct("rare", "gkey", "n", "pos")
     tokens = tokens.withColumn("least", F.min(me).over(by_token)).withColumn("lo", F.min("gkey").over(by_token)).withColumn("hi", F.max("gkey").over(by_token))
-    tokens = materialize(tokens.filter("lo < hi").drop("lo", "hi", "rare"), "tokens")
-    discard()
+    tokens = tokens.withColumn("again", F.row_number().over(Window.partitionBy("token", "part", "gkey").orderBy("pos")))
+    tokens = tokens.filter("again = 1 AND (lo < hi OR parts > 1)").select("token", "parts", "gkey", "n", "pos", "least")
+    tokens = materialize(tokens, "tokens")
+    release(docs.sparkSession)
+    tops = tokens.filter("parts > 1").select("token", "least").distinct()
+    top = tops.groupBy("token").agg(F.min("least").alias("top"))
+    across = tops.join(top, "token").filter("least.gkey <> top.gkey").select(F.col("top.gkey").alias("ga"), F.col("least.gkey").alias("gb"))
     star = tokens.filter("gkey <> least.gkey").filter(may_link(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos"), similar))
-    pairs = star.select(F.col("least.gkey").alias("ga"), F.col("gkey").alias("gb")).distinct()
+    pairs = star.select(F.col("least.gkey").alias("ga"), F.col("gkey").alias("gb")).unionByName(across).distinct()
     heads = groups.select("gkey", F.col("head.node").alias("node"))
     pairs = pairs.join(heads.select(F.col("gkey").alias("ga"), F.col("node").alias("a")), "ga").join(heads.select(F.col("gkey").alias("gb"), F.col("node").alias("b")), "gb").select("a", "b")
     inside = nodes.join(groups.filter("members > 1").select("gkey", F.col("head.node").alias("a")), "gkey").filter("node <> a").select("a", F.col("node").alias("b"))
     pairs = materialize(pairs.unionByName(inside), "pairs")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        need = materialize(nodes.join(asked, "node").select(F.col("row.doc_id").alias("d"), F.col("row.th").alias("t"), "node"), "asked")
-        few = _few(need)
-        found = docs.select(F.col("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).join(
-            few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
-        )
-        table = materialize(found.select("node", "text"), "texts")
-        return table if table.count() == need.count() else table.groupBy("node").agg(F.first("text").alias("text"))
-
-    texts = texts_of(pairs)
-    links = materialize(verified(pairs, texts, words, similar), "links")
-    discard(texts)
+    links = materialize(verified(pairs, nodes, docs, words, similar), "links")
     comp = connected_components(links)
     comp = materialize(nodes.select("node", "gkey", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "components")
 
     # what still lies apart: members of groups that share a shingle, or of one group
     member = comp.select("gkey", "node", "comp", "n")
     many = groups.filter("members > 1").select("gkey")
-    held = tokens.select("token", "gkey", "pos").distinct().join(member, "gkey").select("token", "pos", "node", "comp", "n")
+    held = tokens.select("token", "gkey", "pos").join(member, "gkey").select("token", "pos", "node", "comp", "n")
     held = held.unionByName(many.join(member, "gkey").select(F.col("gkey").alias("token"), F.lit(0).alias("pos"), "node", "comp", "n"))
     share = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
     main = share.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
@@ -252,9 +252,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     met = x.join(y, (x["token"] == y["token"]) & apart & may_link(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), similar))
     rest = materialize(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "rest")
     discard(tokens, held, pairs)
-    texts = texts_of(rest)
-    more = materialize(verified(rest, texts, words, similar), "links")
-    discard(texts, rest)
+    more = materialize(verified(rest, nodes, docs, words, similar), "links")
+    discard(rest)
     if not more.isEmpty():
         ends = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
         joined = connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
