@@ -26,6 +26,8 @@ from .url_filter import url_parts
 SLOTS = 1 << 16
 #: Rows of each language that the text model is fitted to.
 FIT_ROWS = 400
+#: Languages that the model tells apart at most: the most frequent labels.
+MOST_LANGUAGES = 64
 #: A text's trigrams lean on each other; beyond this many, evidence grows no more.
 MOST_EVIDENCE = 64.0
 #: Pseudo-counts: of a host's parent in its prior, of a label without evidence.
@@ -80,7 +82,7 @@ def fit_text_model(labelled: DataFrame, fit_rows: int = FIT_ROWS, text: str = "t
     This sample is the only bounded one; everything else covers all rows.
     """
     rows = labelled.filter(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    langs = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
+    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
     out: list[tuple[str, str]] = []
     for lang in langs:
         edge = rows.filter(F.col("lang") == lang).select("h").orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
