@@ -114,6 +114,9 @@ def apply_responses(questions: DataFrame, parsed: DataFrame) -> DataFrame:
 
 def run_counters(questions: DataFrame, responses: DataFrame) -> DataFrame:
     """One row: questions, eligible, processed, failed."""
-    q = questions.agg(F.count(F.lit(1)).alias("questions"), F.count_if((F.col("description") != "") & (F.size("options") > 0)).alias("eligible"))
-    r = responses.agg(F.count_if(F.col("error").isNull()).alias("processed"), F.count_if(F.col("error").isNotNull()).alias("failed"))
-    return q.crossJoin(r)  # one row each
+    none = F.lit(0).cast("long")
+    ready = (F.col("description") != "") & (F.size("options") > 0)
+    q = questions.agg(F.count(F.lit(1)).alias("questions"), F.count_if(ready).alias("eligible"), none.alias("processed"), none.alias("failed"))
+    done = F.col("error").isNull()
+    r = responses.agg(none.alias("questions"), none.alias("eligible"), F.count_if(done).alias("processed"), F.count_if(~done).alias("failed"))
+    return q.unionByName(r).agg(*[F.sum(c).alias(c) for c in q.columns])

@@ -21,7 +21,6 @@ def duplicate_pairs(rows: DataFrame, key: str = "unique_id", text: str = "descri
     num, den = threshold
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda x: x != ""))
     sets = rows.select(F.col(key).alias("id"), F.array_distinct(F.transform(words, lambda x: F.xxhash64(x))).alias("words")).filter(F.size("words") > 0)
-    sets = sets.persist()
     each = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("w"))
     often = each.groupBy("w").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # words of one row only can't be shared: they take the first places, and only the others' places matter

@@ -160,17 +160,20 @@ def issues(questions: DataFrame, cache: DataFrame, similarity: bool = True) -> D
 def validation_scores(found: DataFrame, questions: DataFrame) -> DataFrame:
     """One row: total, issues by severity, accuracy, completeness and quality (0 without questions), and status."""
     kind, level = F.col("issue_type"), F.col("severity")
-    i = found.agg(
+    counts = found.agg(
+        F.lit(0).cast("long").alias("total"),
         F.count_if(kind == "text_accuracy").alias("text"),
         F.count_if(kind == "ocr_error").alias("ocr"),
         F.count_if(kind.isin("missing_text", "missing_options", "truncated_text")).alias("incomplete"),
         *[F.count_if(level == s).alias(s) for s in ("critical", "major", "minor")],
     )
-    t = questions.agg(F.count(F.lit(1)).alias("total"))
+    none = [F.lit(0).cast("long").alias(c) for c in counts.columns[1:]]
+    both = counts.unionByName(questions.agg(F.count(F.lit(1)).alias("total"), *none))
+    both = both.agg(*[F.sum(c).alias(c) for c in counts.columns])
     n = F.col("total").cast("double")
     rate = lambda x: F.when(F.col("total") > 0, F.greatest(F.lit(0.0), F.lit(1.0) - x / n)).otherwise(F.lit(0.0))
     quality = rate(F.col("critical") * F.lit(0.3) + F.col("major") * F.lit(0.1) + F.col("minor") * F.lit(0.02))
-    return i.crossJoin(t).select(  # one row each
+    return both.select(
         "total",
         "critical",
         "major",
