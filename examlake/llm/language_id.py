@@ -26,6 +26,8 @@ from .url_filter import url_parts
 SLOTS = 1 << 16
 #: Rows of each language that the text model is fitted to.
 FIT_ROWS = 400
+#: Longer texts aren't taken into that sample, which the driver holds.
+FIT_CHARS = 20_000
 #: Languages that the model tells apart at most: the most frequent labels.
 MOST_LANGUAGES = 64
 #: A text's trigrams lean on each other; beyond this many, evidence grows no more.
@@ -77,16 +79,16 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", label: str = "lang") -> TextModel:
-    """Fit to at most fit_rows labelled rows of each language: those whose texts have the smallest hashes.
+    """Fit to at most fit_rows labelled rows of each language: those of up to FIT_CHARS characters with the smallest hashes.
 
     This sample is the only bounded one; everything else covers all rows.
     """
-    rows = labelled.filter(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    rows = labelled.filter(F.col(label).isNotNull() & F.length(text).between(1, FIT_CHARS)).select(F.col(label).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
     out: list[tuple[str, str]] = []
     for lang in langs:
         edge = rows.filter(F.col("lang") == lang).select("h").orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-        out += [(r["t"], lang) for r in rows.filter((F.col("lang") == lang) & (F.col("h") <= edge)).limit(2 * fit_rows).collect()]
+        out += [(r["t"], lang) for r in rows.filter((F.col("lang") == lang) & (F.col("h") <= edge)).limit(fit_rows).collect()]
     return TextModel.fit(out)
 
 
