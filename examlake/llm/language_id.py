@@ -24,6 +24,8 @@ from .tokens import slices_by_bytes
 from .url_filter import url_parts
 
 SLOTS = 1 << 16
+#: Trigrams that are looked up at once.
+CHUNK = 1 << 20
 #: Rows of each language that the text model is fitted to.
 FIT_ROWS = 400
 #: Longer texts aren't taken into that sample, which the driver holds.
@@ -74,8 +76,13 @@ class TextModel:
         slots, begin, letters = trigram_slots(texts)
         if not len(letters):
             return np.zeros((0, len(self.languages) + 1)), letters
-        sums = np.add.reduceat(self.log_prob[slots[: begin[-1]]], begin[:-1], axis=0)
-        return sums.astype(np.float64) / np.diff(begin)[:, None], letters
+        sums = np.zeros((len(letters), self.log_prob.shape[1]))
+        for at in range(0, int(begin[-1]), CHUNK):
+            end = min(at + CHUNK, int(begin[-1]))
+            first, last = np.searchsorted(begin, [at, end - 1], side="right") - 1
+            cuts = np.maximum(begin[first : last + 1] - at, 0)
+            sums[first : last + 1] += np.add.reduceat(self.log_prob[slots[at:end]], cuts, axis=0, dtype=np.float64)
+        return sums / np.diff(begin)[:, None], letters
 
 
 def fit_text_model(labelled: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", label: str = "lang") -> TextModel:
