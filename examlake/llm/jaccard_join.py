@@ -10,8 +10,8 @@ same prefix and size are collapsed into one group, and only groups are joined:
    and position filters allow; these group pairs are expanded to one member
    each and verified, as are the members of a group against its first. This
    finds most links with as many candidates as there are documents.
-2. Whatever pairs of members share a prefix shingle, pass the filters and still
-   lie in different components are verified one and all, so no link between
+2. Whatever pairs of members share enough prefix shingles and still lie in
+   different components are verified one and all, so no link between
    components is lost. Rows of a shingle's largest component are met only by
    the others, never by each other.
 
@@ -153,6 +153,16 @@ def may_link(n: Column, i: Column, m: Column, j: Column, similar: tuple[int, int
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & ((F.least(n - i, m - j)) * (num + den) >= num * (n + m))
 
 
+def least_shared(n: Column, m: Column, similar: tuple[int, int] = SIMILAR) -> Column:
+    """How many shingles the prefixes of two sets of sizes n <= m share at least if the sets link.
+
+    The set whose prefix ends first shares nothing else with the other but what
+    follows its prefix: ``ceil(t n) - 1`` shingles at most.
+    """
+    num, den = similar
+    return F.ceil((n + m) * num / F.lit(float(num + den))) - F.ceil(m * num / F.lit(float(den))) + 1
+
+
 def verified(
     pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR, chunk: int = 64
 ) -> DataFrame:
@@ -250,7 +260,12 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     y = held.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "pos", "main")])
     apart = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("y_main")) | (F.col("x_node") < F.col("y_node")))
     met = x.join(y, (x["token"] == y["token"]) & apart & may_link(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), similar))
-    rest = materialize(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "rest")
+    met = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    own = held.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"))
+    both = met.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na")), "a")
+    both = both.join(own.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb")), "b")
+    enough = F.size(F.array_intersect("ta", "tb")) >= least_shared(F.least("na", "nb"), F.greatest("na", "nb"), similar)
+    rest = materialize(both.filter(enough).select("a", "b"), "rest")
     discard(tokens, held, pairs)
     more = materialize(verified(rest, nodes, docs, words, similar), "links")
     discard(rest)
