@@ -32,10 +32,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: a lost executor costs no recomputation of what came
     before, and values that depend on the partitioning (row numbers) are fixed.
     Partitions are merged to a few for each core, so that small tables don't
-    become thousands of files; a merged task still works through one at a time.
+    become thousands of files, but with many shuffle partitions no more than 16
+    of them; a merged task works through one at a time.
     """
     spark = df.sparkSession
-    df = df.coalesce(3 * max(1, spark.sparkContext.defaultParallelism))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.coalesce(max(3 * spark.sparkContext.defaultParallelism, partitions // 16, 1))
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
