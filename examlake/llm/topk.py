@@ -10,8 +10,6 @@ at the boundary are resolved exactly, by id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
