@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: One page per part: a header, a marker with topic, a noisy description, two or four options, an optional vote, two comments.
 PAGES_SQL = """
