@@ -26,18 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a narrow table that go to one file.
+FILE_ROWS = 200_000
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation of what came
     before, and values that depend on the partitioning (row numbers) are fixed.
     Partitions are merged to a few for each core, so that small tables don't
     become thousands of files, but with many shuffle partitions no more than 16
-    of them; a merged task works through one at a time.
+    of them; a merged task works through one at a time. rows, an upper bound of
+    a narrow table's rows, makes that a file for each FILE_ROWS of them.
     """
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df = df.coalesce(max(3 * spark.sparkContext.defaultParallelism, partitions // 16, 1))
+    files = max(3 * spark.sparkContext.defaultParallelism, partitions // 16, 1)
+    df = df.coalesce(files if rows is None else max(1, min(files, -(-rows // FILE_ROWS))))
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

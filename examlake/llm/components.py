@@ -22,14 +22,15 @@ def connected_components(links: DataFrame) -> DataFrame:
         return table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     before = state(edges)
+    n = before[0]
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
-        large = materialize(both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "small")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least", 2 * n)
+        large = materialize(both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star", n)
+        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "small", n)
         linked = large.join(down, "u")
         small = linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        after = materialize(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        after = materialize(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", n)
         discard(edges, least, large, down)
         edges = after
         now = state(edges)

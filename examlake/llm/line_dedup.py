@@ -33,9 +33,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("th", F.xxhash64("text"))
 
 
-def _ranked(rows: DataFrame, by: list[str], label: str) -> DataFrame:
+def _ranked(rows: DataFrame, by: list[str], label: str, most: int | None = None) -> DataFrame:
     """Each distinct combination's rank: integers in sort order, with gaps between partitions."""
-    return materialize(rows.select(*by).distinct().orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), label)
+    return materialize(rows.select(*by).distinct().orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), label, most)
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -82,19 +82,20 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     discard(rows, ranks)
 
-    longest = suffixes.agg(F.max(F.greatest(F.col("end") - F.col("pos"), F.col("pos") + 1 - F.col("start")))).first()[0] or 1
+    longest, n = suffixes.agg(F.max(F.greatest(F.col("end") - F.col("pos"), F.col("pos") + 1 - F.col("start"))), F.count(F.lit(1))).first()
+    longest = longest or 1
     h = 1
     while 2 * h <= longest:
         pair = suffixes.withColumn("a", F.element_at("ranks", -1)).withColumn("b", F.coalesce(F.lead("a", h).over(by_pos), F.lit(-1)))
-        pair = materialize(pair, f"pairs-{2 * h}")
-        ranks = _ranked(pair, ["a", "b"], f"ranks-{2 * h}")
+        ranks = _ranked(pair, ["a", "b"], f"ranks-{2 * h}", n)
         longer = materialize(
             pair.join(ranks, ["a", "b"]).select(
                 "did", "th", "isle", "pos", "line", "start", "end", F.concat("ranks", F.array("rank")).alias("ranks")
             ),
             f"suffixes-{2 * h}",
+            n,
         )
-        discard(suffixes, pair, ranks)
+        discard(suffixes, ranks)
         suffixes, h = longer, 2 * h
 
     def level(length):
@@ -115,10 +116,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             "did", "th", "i", "end", "length", F.element_at("head", F.col("level") + 1).alias("a"), F.element_at("tail", F.col("level") + 1).alias("b")
         ),
         "runs",
+        2 * n,
     )
     at = F.struct("did", "th", "i")
     first = materialize(
-        run.groupBy("length", "a", "b").agg(F.min(at).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "intervals"
+        run.groupBy("length", "a", "b").agg(F.min(at).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "intervals", n
     )
     later = run.join(first, ["length", "a", "b"]).filter(at > F.col("earliest")).select("did", "th", "i", "end")
     order = Window.partitionBy("did", "th").orderBy("i", "end")
@@ -128,7 +130,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     line = suffixes.select("did", "th", "pos", "line")
     merged = merged.join(line.select("did", "th", F.col("pos").alias("i"), F.col("line").alias("first")), ["did", "th", "i"])
     merged = merged.join(line.select("did", "th", F.col("pos").alias("z"), F.col("line").alias("last")), ["did", "th", "z"])
-    return materialize(merged.select("did", "th", "first", "last"), "later-copies")
+    return materialize(merged.select("did", "th", "first", "last"), "later-copies", n)
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
