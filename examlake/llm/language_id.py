@@ -140,12 +140,16 @@ def identify(rows: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame
     n = len(langs)
     shared = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size: SLOTS x languages
     keep = [c for c in rows.columns if c.startswith("keep_")]
+    own_text = "text" in rows.columns
     kept = [f for f in rows.schema.fields if f.name in ("id", "declared", "host", "suffix", *keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
+            if own_text:
+                texts = batch.column(batch.schema.get_field_index("text"))
+            else:
+                texts = pc.struct_field(batch.column(batch.schema.get_field_index("keep_doc")), "text")
             for at, size in slices_by_bytes(texts, 2_000_000):
                 part = texts.slice(at, size)
                 mean, letters = m.scores(part)
@@ -155,14 +159,14 @@ def identify(rows: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame
                 )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", mean array<double>, letters long"
-    scored = rows.select(*[f.name for f in kept], "text").mapInArrow(run, schema)
+    scored = rows.select(*[f.name for f in kept], *["text"] * own_text).mapInArrow(run, schema)
     own = F.slice("mean", 1, n)
     scored = materialize(
         scored.withColumn("guess", F.when(F.col("letters") > 0, F.array_position(own, F.array_max(own)).cast("int") - 1)),
         "language-scores",
     )
     cells = materialize(scored.filter("guess IS NOT NULL").groupBy("declared", "host", "suffix", "guess").agg(F.count(F.lit(1)).alias("n")), "language-cells")
-    whole = cells.agg(*_counts(n)).first()
+    whole = cells.agg(*_counts(n), F.count(F.lit(1))).first()
     seen = [whole[i] or 0.0 for i in range(n)]
     base = [(x + 1.0) / (sum(seen) + n) for x in seen]
     parent = F.substring_index("host", ".", -2)
@@ -183,7 +187,7 @@ def identify(rows: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame
 
     out = scored
     for column, table in (("declared", goes_with("declared")), ("suffix", goes_with("suffix")), ("host", priors)):
-        table = materialize(table, f"language-{column}")
+        table = materialize(table, f"language-{column}", whole[n])
         out = out.join(table, out[column] == table[f"{column}_of"], "left").drop(f"{column}_of")
     none, prior = F.array(*[F.lit(0.0)] * n), F.array(*[F.lit(float(np.log(b))) for b in base])
     weight = F.when(F.col("letters") > 0, F.least(F.col("letters").cast("double"), F.lit(MOST_EVIDENCE))).otherwise(F.lit(0.0))
@@ -207,7 +211,7 @@ def accepted_documents(docs: DataFrame, model: TextModel, least: float = 0.5) ->
     """The rows of docs that identify() accepts, whole, with lang set to the language found."""
     keep = F.struct(*[docs[c] for c in docs.columns]).alias("keep_doc")
     rows = docs.select(
-        F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"), keep
+        F.col("doc_id").alias("id"), F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"), keep
     )
     found = identify(rows, model, least).filter("accepted")
     return found.select(*[(F.col("language") if c == "lang" else F.col("keep_doc")[c]).alias(c) for c in docs.columns])
