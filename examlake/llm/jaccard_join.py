@@ -251,8 +251,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     # what still lies apart: members of groups that share a shingle, or of one group
     member = comp.select("gkey", "node", "comp", "n")
     many = groups.filter("members > 1").select("gkey")
-    held = tokens.select("token", "gkey", "pos").join(member, "gkey").select("token", "pos", "node", "comp", "n")
-    held = held.unionByName(many.join(member, "gkey").select(F.col("gkey").alias("token"), F.lit(0).alias("pos"), "node", "comp", "n"))
+    held = tokens.select("token", "gkey", "pos").join(member, "gkey").select("token", "pos", "node", "comp", "n", "gkey")
+    held = held.unionByName(many.join(member, "gkey").select(F.col("gkey").alias("token"), F.lit(0).alias("pos"), "node", "comp", "n", "gkey"))
     share = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
     main = share.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     held = materialize(held.join(main.select("token", F.col("top.comp").alias("main")), "token"), "held")
@@ -261,10 +261,11 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     apart = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("y_main")) | (F.col("x_node") < F.col("y_node")))
     met = x.join(y, (x["token"] == y["token"]) & apart & may_link(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"), similar))
     met = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    own = held.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"))
-    both = met.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na")), "a")
-    both = both.join(own.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb")), "b")
-    enough = F.size(F.array_intersect("ta", "tb")) >= least_shared(F.least("na", "nb"), F.greatest("na", "nb"), similar)
+    own = held.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"), F.first("gkey").alias("gkey"))
+    both = met.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"), F.col("gkey").alias("ga")), "a")
+    both = both.join(own.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"), F.col("gkey").alias("gb")), "b")
+    # members of one group share their whole prefix, of which held has only what other groups hold too
+    enough = (F.col("ga") == F.col("gb")) | (F.size(F.array_intersect("ta", "tb")) >= least_shared(F.least("na", "nb"), F.greatest("na", "nb"), similar))
     rest = materialize(both.filter(enough).select("a", "b"), "rest")
     discard(tokens, held, pairs)
     more = materialize(verified(rest, nodes, docs, words, similar), "links")

@@ -1,10 +1,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from examlake.llm.jaccard_join import jaccard_join, one_of_each
 from examlake.llm.components import connected_components
+from examlake.llm.shingles import Shingler
 
 SCHEMA = "doc_id long, text string, n string, comp string"
 
@@ -81,6 +84,22 @@ def test_a_chain_and_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute(rows)})
 
 
+def test_members_of_a_group_that_link_past_its_head(spark):
+    # frequent words come last, and a text with one has the fewest rare ones: "often" makes a group's head
+    words = [f"u{i}" for i in range(120)]
+    by_hash = [words[i] for i in np.argsort([s[0] for s in Shingler(1).sets(pa.array(words))])]
+    rows, linked = [], []
+    for head in range(3):
+        w = by_hash[head * 40 : head * 40 + 40]  # all three share the prefix w[:3] and no other group holds it; b and c link
+        h, b, c = w[:3] + w[10:17], w[:3] + w[20:27], w[:3] + w[20:26] + [w[27]]
+        (h, b, c)[head][-1] = "often"
+        rows += [(10 * head + i, " ".join(t), "", "") for i, t in enumerate((h, b, c))]
+        linked += [(10 * head, 10 * head), (10 * head + 1, 10 * head + 1), (10 * head + 2, 10 * head + 1)]
+    rows += [(100 + i, " ".join(["often"] + [f"f{i}x{j}" for j in range(9)]), "", "") for i in range(20)]
+    got = {r.doc_id: r.component_id for r in jaccard_join(spark.createDataFrame(rows, SCHEMA).coalesce(1), words=1).collect()}
+    assert [(i, got[i]) for i, _ in linked] == linked
+
+
 def test_empty_table(spark):
     assert jaccard_join(spark.createDataFrame([], SCHEMA)).count() == 0
 
