@@ -2,48 +2,85 @@
 
 Documents are tokenized, whole windows of long documents become sequences of
 their own, and what remains of each document is packed with its lexical
-neighbours: every shard holds a BM25 inverted index over its documents, takes a
-seed document, asks the index for unused neighbours and fills the window with
-them greedily, cutting the last one where the window is full. What is left of
-the cut document seeds the next window. A shard's last, unfilled window is cut
-into sequences whose lengths are powers of two, which need no padding.
+neighbours. Document frequencies of terms and the mean length are counted over
+all documents, and terms over a document's whole text. Documents are sorted by
+min-hashes of their weightiest terms, so near ones lie together however many
+there are, and runs of that order are shards: each holds a BM25 inverted index
+over its documents, takes a seed document, asks the index for unused neighbours
+and fills the window with them greedily, cutting the last one where the window
+is full. What is left of the cut document seeds the next window. A shard's last,
+unfilled window is cut into sequences whose lengths are powers of two, which
+need no padding.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .tokens import WordEncoder, slices_by_bytes
 
 WINDOW = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
+#: Weightiest terms of a document that are hashed for its place in the order, and how many of the least hashes that takes.
+KEY_TERMS, KEYS = 16, 3
 
 
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+@dataclass
+class Corpus:
+    """What BM25 knows of all documents: their number, mean length, and by term how many hold it."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def weight(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+        df = self.df[term]
+        return np.log1p((self.n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / max(1.0, self.mean)))
+
+
+def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents' distinct terms in turn, how often each is held, and where each document's begin (one more than documents)."""
+    ids = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
+    pairs, tf = np.unique((np.repeat(np.arange(len(docs)), [len(d) for d in docs]) << 32) | ids, return_counts=True)
+    return pairs & 0xFFFFFFFF, tf, np.searchsorted(pairs >> 32, np.arange(len(docs) + 1))
+
+
 class Bm25Index:
-    """Inverted index over token-id arrays; BM25 with the usual k1 and b."""
+    """Inverted index over token-id arrays; BM25 with the usual k1 and b.
+
+    held, if given, has the terms of longer texts that docs are parts of (see
+    counted) and the lengths of these; corpus, if given, covers more documents.
+    """
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, query_terms: int = 32) -> None:
+    def __init__(
+        self,
+        docs: list[np.ndarray],
+        query_terms: int = 32,
+        held: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None,
+        corpus: Corpus | None = None,
+    ) -> None:
         n = len(docs)
-        sizes = np.fromiter(map(len, docs), np.int64, n)
-        terms, code = np.unique(np.concatenate(docs) if n else np.zeros(0, np.int64), return_inverse=True)
-        owner = np.repeat(np.arange(n), sizes)
-        pairs, tf = np.unique(code.astype(np.int64) * n + owner, return_counts=True)
-        term, self.doc = np.divmod(pairs, max(n, 1))
-        df = np.bincount(term, minlength=len(terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * sizes / max(1.0, sizes.mean() if n else 1.0))
-        self.weight = idf[term] * tf * (k1 + 1) / (tf + norm[self.doc])
+        term, tf, begin, sizes = held or (*counted(docs), np.fromiter(map(len, docs), np.int64, n))
+        terms, code, df = np.unique(term, return_inverse=True, return_counts=True)
+        corpus = corpus or Corpus(n, sizes.mean() if n else 1.0, np.bincount(term))
+        owner = np.repeat(np.arange(n), np.diff(begin))
+        weight = corpus.weight(term, tf, sizes[owner])
+        by_term = np.argsort(code, kind="stable")
+        term, self.doc, self.weight = code[by_term], owner[by_term], weight[by_term]
         self.begin = np.concatenate([[0], np.cumsum(df)])
         order = np.argsort(self.doc, kind="stable")
         self.query_term, self.query_weight = term[order], self.weight[order]
@@ -63,9 +100,9 @@ class Bm25Index:
         return np.bincount(self.doc[post], self.weight[post], minlength=self.n)
 
 
-def fill_windows(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
+def fill_windows(docs: list[np.ndarray], window: int, held: tuple | None = None, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, from, to) that hold each document's ids once; all but the last few are full."""
-    index = Bm25Index(docs)
+    index = Bm25Index(docs, held=held, corpus=corpus)
     sizes = [len(d) for d in docs]
     unused = np.fromiter((s > 0 for s in sizes), bool, len(docs))
     begun = np.zeros(len(docs), np.int64)
@@ -134,13 +171,12 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     A document's ids are its text's and end_id; a null text is empty, so each
     document has one id at least. Each id lies in exactly one piece. All
     sequences have window ids, but for the last of each shard, whose lengths are
-    powers of two. Shards hold about shard_docs documents each, dealt by hashed
-    doc_id, ids and row, so that repeated rows spread; docs should be a scan
-    (of a table), whose row numbers don't change when a task is run again.
+    powers of two. Shards hold shard_docs documents at most, consecutive ones of
+    an order by content; equal ones by hashed doc_id, ids and row, so that groups
+    of copies of any size are cut as well. Retrieval sees a document's own shard.
     Rows with one doc_id are separate documents. Only doc_id and text are read;
     an empty table gives an empty result.
     """
-    shards = max(1, -(-docs.count() // shard_docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +185,17 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             texts = batch.column(batch.schema.get_field_index("text"))
             for at, n in slices_by_bytes(texts, 16_000_000):
                 ids, begin = encoder.encode(texts.slice(at, n))
-                totals, whole, rest = [], [], []
+                totals, whole, rest, owns = [], [], [], []
                 for i in range(n):
                     own = np.append(ids[begin[i] : begin[i + 1]], encoder.dtype.type(end_id))
                     full = len(own) // window
+                    owns.append(own)
                     totals.append(len(own))
                     whole.append([crc(own[k * window : (k + 1) * window]) for k in range(full)])
                     rest.append((own if with_ids else own[full * window :]).astype("<u4" if encoder.dtype.itemsize == 4 else "<u2").tobytes())
+                term, tf, cuts = counted(owns)
+                term, tf = term.astype("<u4" if encoder.dtype.itemsize == 4 else "<u2"), tf.astype("<u4")
+                parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(batch.schema.get_field_index("doc_id")).slice(at, n),
@@ -163,23 +203,66 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                         pa.array(whole, pa.list_(pa.int64())),
                         pa.array(rest, pa.binary()),
                         pa.array([encoder.dtype.itemsize] * n, pa.int32()),
+                        pa.array([term[x:y].tobytes() for x, y in parts], pa.binary()),
+                        pa.array([tf[x:y].tobytes() for x, y in parts], pa.binary()),
                     ],
-                    ["doc_id", "doc_tokens", "whole", "rest", "width"],
+                    ["doc_id", "doc_tokens", "whole", "rest", "width", "terms", "tf"],
                 )
 
-    tokens = docs.select("doc_id", "text").mapInArrow(tokenize, f"doc_id {kind}, doc_tokens long, whole array<long>, rest binary, width int")
-    tokens = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "rest", F.monotonically_increasing_id()), F.lit(shards)))
+    def held_by(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        raw, width = table.column("terms").to_pylist(), table.column("width").to_pylist()
+        term = [np.frombuffer(r, "<u2" if w == 2 else "<u4") for r, w in zip(raw, width, strict=True)]
+        none = [np.zeros(0, np.int64)]
+        tf = np.frombuffer(b"".join(table.column("tf").to_pylist()), "<u4").astype(np.int64)
+        return np.concatenate(none + term).astype(np.int64), tf, np.cumsum([0] + [len(t) for t in term]), np.array(table.column("doc_tokens").to_pylist(), np.int64)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(0, np.int64)
+        for batch in batches:
+            for r, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                term = np.frombuffer(r, "<u2" if w == 2 else "<u4")
+                if len(term) and term[-1] >= len(df):  # terms are sorted
+                    df = np.append(df, np.zeros(int(term[-1]) + 1 - len(df), np.int64))
+                df[term] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["term", "df"])
+
+    outline = f"doc_id {kind}, doc_tokens long, whole array<long>, rest binary, width int, terms binary, tf binary"
+    tokens = materialize(docs.select("doc_id", "text").mapInArrow(tokenize, outline), "packing-tokens")
+    n, ids = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()
+    counts = tokens.select("terms", "width").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # a row for each of the vocabulary at most
+    df = np.zeros(int(counts["term"].max()) + 1 if len(counts) else 1, np.int64)
+    df[counts["term"].to_numpy(np.int64)] = counts["df"].to_numpy(np.int64)
+    corpus = docs.sparkSession.sparkContext.broadcast(Corpus(n, ids / max(n, 1), df))
+    mixed = np.random.default_rng(0).permutation(len(df))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term, tf, begin, size = held_by(batch)
+            weight = corpus.value.weight(term, tf, np.repeat(size, np.diff(begin)))
+            keys = np.full((batch.num_rows, KEYS), -1, np.int64)
+            for i, (x, y) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+                top = np.argsort(-weight[x:y], kind="stable")[:KEY_TERMS]
+                least = np.sort(mixed[term[x:y][top]])[:KEYS]
+                keys[i, : len(least)] = least
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(keys[:, k]) for k in range(KEYS)]], [*batch.schema.names, *order_by[:KEYS]])
+
+    order_by = [f"key{k}" for k in range(KEYS)] + ["salt"]
+    salted = tokens.mapInArrow(keyed, outline + "".join(f", {c} long" for c in order_by[:KEYS]))
+    salted = salted.withColumn("salt", F.xxhash64("doc_id", "rest", F.monotonically_increasing_id()))
+    # a few shards in each partition, so that few of them are cut short by its end
+    parts = max(1, min(-(-n // (4 * shard_docs)), 64 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tokens = salted.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by).drop(*order_by)
     extra = ", ids array<long>" if with_ids else ""
 
-    def assemble(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py() if table.num_rows else 0
+    def assemble(table: pa.Table, number: int) -> tuple[pa.Table, int]:
         ids = table.column("doc_id").to_pylist()
         totals = table.column("doc_tokens").to_pylist()
         whole = table.column("whole").to_pylist()
         raw = [np.frombuffer(r, "<u2" if w == 2 else "<u4") for r, w in zip(table.column("rest").to_pylist(), table.column("width").to_pylist(), strict=True)]
+        term, tf, begin, sizes = held_by(table)
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, totals[i], raw[i].tobytes()[:64]))
         rows: list[tuple] = []
-        number = shard << 32
         tails = []
         for i in order:
             full = len(whole[i])
@@ -187,7 +270,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                 rows.append((ids[i], k * window, window, c, totals[i], number, 0, raw[i][k * window : (k + 1) * window] if with_ids else None))
                 number += 1
             tails.append(raw[i][full * window :] if with_ids else raw[i])
-        for pieces in fill_windows(tails, window):
+        at = [np.arange(begin[i], begin[i + 1]) for i in order]
+        flat = np.concatenate(at)
+        for pieces in fill_windows(tails, window, (term[flat], tf[flat], np.cumsum([0] + [len(x) for x in at]), sizes[order]), corpus.value):
             size = sum(b - a for _, a, b in pieces)
             for sequence in [pieces] if size == window else powers_of_two(pieces):
                 offset = 0
@@ -203,8 +288,21 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         if with_ids:
             names.append("ids")
             arrays.append(pa.array([x.tolist() for x in cols[7]], pa.list_(pa.int64())))
-        return pa.table(arrays, names)
+        return pa.table(arrays, names), number
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows, number = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, shard_docs - rows)
+                batch = batch.slice(part.num_rows)
+                waiting.append(part)
+                rows += part.num_rows
+                if rows == shard_docs:
+                    out, number = assemble(pa.Table.from_batches(waiting), number)
+                    waiting, rows = [], 0
+                    yield from out.to_batches()
+        if waiting:
+            yield from assemble(pa.Table.from_batches(waiting), number)[0].to_batches()
 
-    return tokens.groupBy("shard").applyInArrow(
-        assemble, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{extra}"
-    )
+    return tokens.mapInArrow(shards, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{extra}")

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from examlake.llm.packing import Bm25Index, fill_windows, pack, powers_of_two
+from examlake.llm.packing import Bm25Index, Corpus, counted, fill_windows, pack, powers_of_two
 from examlake.llm.queries import tokenizer_path
 from examlake.llm.tokens import WordEncoder
 
@@ -71,6 +71,28 @@ def test_neighbours_come_first():
     assert [sorted({d % 2 for d, _, _ in w}) for w in windows] == [[0], [1]]
 
 
+def test_weights_know_all_documents():
+    docs = [np.array(x) for x in ([1, 2, 9], [1, 3, 9], [1, 1, 4, 9], [5, 6, 7, 8, 9])]
+    corpus = Corpus(4, 3.75, np.bincount([1, 2, 9, 1, 3, 9, 1, 4, 9, 5, 6, 7, 8, 9]))
+    assert np.allclose(Bm25Index(docs[:2], corpus=corpus).scores(0), Bm25Index(docs).scores(0)[:2])
+    tails = [d[-1:] for d in docs]
+    assert np.allclose(Bm25Index(tails, held=(*counted(docs), np.array([3, 3, 4, 5]))).scores(0), Bm25Index(docs).scores(0))
+
+
+def test_near_documents_meet_beyond_a_shard(spark):
+    rng = random.Random(1)
+    words = [a + b + c for a in "bdgklmnprst" for b in "aeiou" for c in "bdgklmnprst"]
+    rows = []
+    for i in range(100):
+        text = [rng.choice(words) for _ in range(40)]
+        rows += [(i, " ".join(text), "", ""), (100 + i, " ".join(text[:-1] + [rng.choice(words)]), "", "")]
+    sequences = {}
+    for r in pack(spark.createDataFrame(rows, SCHEMA), tokenizer_path(), window=512, shard_docs=20).collect():
+        sequences.setdefault(r.doc_id, set()).add(r.sequence_id)
+    assert len(sequences) == 200
+    assert sum(bool(sequences[i] & sequences[100 + i]) for i in range(100)) >= 60
+
+
 def test_powers_of_two():
     out = powers_of_two([(0, 3, 10), (1, 0, 6)])
     assert [sum(b - a for _, a, b in s) for s in out] == [8, 4, 1]
