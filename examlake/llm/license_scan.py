@@ -8,6 +8,8 @@ identifiers, so a longer licence is tried before its parts.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,8 +146,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("All-Rights-Reserved", ("reserved",)),
 )
 
-# Every sentence above holds one of these, so other texts need no cutting.
-MARKERS = ("licens", "rights reserved", "permission", "redistribution", "copyright notice", "warrant", "cc0 1.0", "cc by")
+# Every sentence above holds one of these, so other texts need no cutting. Letters and digits only: whatever parts two words in a text, a word stays whole.
+MARKERS = ("licens", "reserved", "permission", "redistribution", "copyright", "warrant", "cc0")
 END = "\x01"
 
 
@@ -161,7 +163,12 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(t, f"[^0-9a-z.+{END}\\n-]+", " "), END)
 
 
-def license_scan(docs: DataFrame, sentence_ids: dict[str, tuple[str, ...]] | None = None, rules=RULES, markers=MARKERS) -> DataFrame:
+def words_of(sentence_ids: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
+    """The longest run of letters and digits of each sentence, once each."""
+    return tuple(sorted({max(re.findall("[0-9a-z]+", s) or [""], key=len) for v in sentence_ids.values() for s in v}))
+
+
+def license_scan(docs: DataFrame, sentence_ids: dict[str, tuple[str, ...]] | None = None, rules=RULES, markers: tuple[str, ...] | None = None) -> DataFrame:
     """doc_id, sentence_ids, licenses, unruled for every row of docs.
 
     sentence_ids lists the identifiers found, as ``<a><b>``, in text order. A
@@ -171,8 +178,11 @@ def license_scan(docs: DataFrame, sentence_ids: dict[str, tuple[str, ...]] | Non
     that matched, sorted, once each, joined by ``;``. unruled counts identifiers
     that no rule took. A null or empty text has "", "" and 0. Rows are judged
     one by one without a shuffle, so repeated rows repeat; other columns of docs
-    are not read.
+    are not read. A text without any of the markers (parts of words; unless
+    given, they follow from the sentences) is not cut: every sentence must hold one.
     """
+    if markers is None:
+        markers = words_of(sentence_ids) if sentence_ids else MARKERS
     known = [(s, k) for k, v in (sentence_ids or SENTENCES).items() for s in v]
     keys, ids = F.array(*[F.lit(s) for s, _ in known]), F.array(*[F.lit(f"<{k}>") for _, k in known])
 

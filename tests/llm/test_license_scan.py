@@ -52,3 +52,11 @@ def test_own_tables_and_order(spark):
     rows = [(1, "one licens. Other words; two licens", ""), (2, "two licens. one licens", "")]
     got = {r.doc_id: (r.licenses, r.unruled) for r in license_scan(spark.createDataFrame(rows, SCHEMA), ids, rules, ("licens",)).collect()}
     assert got == {1: ("AB", 0), 2: ("A", 1)}
+
+
+def test_the_gate_lets_every_spacing_through(spark):
+    rows = [(i, f"Copyright me. All{a}Rights{b}Reserved.", "") for i, (a, b) in enumerate([("\n", "\n"), (" ", "\n"), ("  ", "  "), ("\t", "\t"), ("\u00a0", "\u00a0"), (", ", " / ")])]
+    got = license_scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.sentence_ids, r.licenses) for r in got] == [("<reserved>", "All-Rights-Reserved")] * len(rows)
+    own = license_scan(spark.createDataFrame([(1, "Feel free!", ""), (2, "other", "")], SCHEMA), {"a": ("feel free",)}, (("A", ("a",)),)).collect()
+    assert [r.licenses for r in own] == ["A", ""]
