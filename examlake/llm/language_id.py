@@ -18,20 +18,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import lower_ascii, materialize
 from .tokens import slices_by_bytes
 from .url_filter import url_parts
 
 SLOTS = 1 << 16
-#: Trigrams that are looked up at once.
+#: Trigrams that are looked up at once under 64 languages (fewer under more), and the figures that makes.
 CHUNK = 1 << 20
+LOOKED_UP = CHUNK * 65
 #: Rows of each language that the text model is fitted to.
 FIT_ROWS = 400
-#: Longer texts aren't taken into that sample, which the driver holds.
+#: Longer texts are taken into that sample, shortest first, only where a language has too few others.
 FIT_CHARS = 20_000
-#: Languages that the model tells apart at most: the most frequent labels.
-MOST_LANGUAGES = 64
 #: A text's trigrams lean on each other; beyond this many, evidence grows no more.
 MOST_EVIDENCE = 64.0
 #: Pseudo-counts: of a host's parent in its prior, of a label without evidence.
@@ -63,11 +63,18 @@ class TextModel:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]], alpha: float = 0.1) -> "TextModel":
-        languages = sorted({lang for _, lang in rows})
+        texts: dict[str, list[str]] = {}
+        for t, lang in rows:
+            texts.setdefault(lang, []).append(t)
+        return cls.of_counts({lang: np.bincount(trigram_slots(pa.array(x, pa.string()))[0], minlength=SLOTS) for lang, x in texts.items()}, alpha)
+
+    @classmethod
+    def of_counts(cls, counts: dict[str, np.ndarray], alpha: float = 0.1) -> "TextModel":
+        """The model of each language's counts of trigrams by slot."""
+        languages = sorted(counts)
         table = np.full((SLOTS, len(languages) + 1), -np.log(SLOTS), np.float32)
         for i, lang in enumerate(languages):
-            slots, _, _ = trigram_slots(pa.array([t for t, x in rows if x == lang], pa.string()))
-            n = np.bincount(slots, minlength=SLOTS) + alpha
+            n = counts[lang] + alpha
             table[:, i] = np.log(n / n.sum())
         return cls(languages, table)
 
@@ -77,8 +84,9 @@ class TextModel:
         if not len(letters):
             return np.zeros((0, len(self.languages) + 1)), letters
         sums = np.zeros((len(letters), self.log_prob.shape[1]))
-        for at in range(0, int(begin[-1]), CHUNK):
-            end = min(at + CHUNK, int(begin[-1]))
+        chunk = max(1, min(CHUNK, LOOKED_UP // self.log_prob.shape[1]))
+        for at in range(0, int(begin[-1]), chunk):
+            end = min(at + chunk, int(begin[-1]))
             first, last = np.searchsorted(begin, [at, end - 1], side="right") - 1
             cuts = np.maximum(begin[first : last + 1] - at, 0)
             sums[first : last + 1] += np.add.reduceat(self.log_prob[slots[at:end]], cuts, axis=0, dtype=np.float64)
@@ -86,17 +94,39 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", label: str = "lang") -> TextModel:
-    """Fit to at most fit_rows labelled rows of each language: those of up to FIT_CHARS characters with the smallest hashes.
+    """Fit to at most fit_rows labelled rows of each language: those of up to FIT_CHARS characters with the smallest hashes, then the shortest longer ones.
 
-    This sample is the only bounded one; everything else covers all rows.
+    Every label with a text is fitted. This sample is the only bounded one;
+    everything else covers all rows.
     """
-    rows = labelled.filter(F.col(label).isNotNull() & F.length(text).between(1, FIT_CHARS)).select(F.col(label).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    out: list[tuple[str, str]] = []
-    for lang in langs:
-        edge = rows.filter(F.col("lang") == lang).select("h").orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-        out += [(r["t"], lang) for r in rows.filter((F.col("lang") == lang) & (F.col("h") <= edge)).limit(fit_rows).collect()]
-    return TextModel.fit(out)
+    t, long = F.col(text), F.when(F.length(text) > FIT_CHARS, F.length(text)).otherwise(0)
+    rows = labelled.filter(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("lang"), F.xxhash64(t).alias("h"), long.alias("long"), t.alias("t"))
+    ranked = rows.select("lang", "long", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h")))
+    taken = ranked.filter(F.col("rank") <= fit_rows).select("lang", "h").distinct()
+    sample = rows.join(taken, ["lang", "h"]).groupBy("lang", "h").agg(F.min("t").alias("t")).select("lang", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, n = None, np.zeros(SLOTS, np.int64)
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n.tobytes()], pa.binary())], ["lang", "n"])
+
+        for batch in batches:
+            for at, size in slices_by_bytes(batch.column(1), 2_000_000):
+                part = batch.slice(at, size)
+                names = part.column(0).to_pylist()
+                cuts = [0] + [i for i in range(1, size) if names[i] != names[i - 1]] + [size]
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    if names[x] != lang:
+                        if lang is not None:
+                            yield counted()
+                        lang, n = names[x], np.zeros(SLOTS, np.int64)
+                    n += np.bincount(trigram_slots(part.column(1).slice(x, y - x))[0], minlength=SLOTS)
+        if lang is not None:
+            yield counted()
+
+    counts = sample.repartition("lang").sortWithinPartitions("lang").mapInArrow(run, "lang string, n binary").collect()  # a row for each language
+    return TextModel.of_counts({r["lang"]: np.frombuffer(r["n"], np.int64) for r in counts})
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -138,7 +168,7 @@ def identify(rows: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame
     """
     langs = model.languages
     n = len(langs)
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size: SLOTS x languages
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages
     keep = [c for c in rows.columns if c.startswith("keep_")]
     own_text = "text" in rows.columns
     kept = [f for f in rows.schema.fields if f.name in ("id", "declared", "host", "suffix", *keep)]

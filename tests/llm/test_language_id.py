@@ -26,6 +26,15 @@ def test_held_out_accuracy(spark):
     assert all(got[r[0]].language == r[2] and got[r[0]].accepted for r in rows[120:])
 
 
+def test_every_label_is_fitted(spark):
+    rows = [(100 * k + i, f"common words {chr(97 + k % 26) * 3}{chr(97 + k // 26) * 4} {i}", f"l{k:02}", "s", "x") for k in range(70) for i in range(2)]
+    rows.append((9999, "lange texte sind auch texte " * 1000, "zz", "s", "x"))  # all of its rows are long
+    model = fit_text_model(spark.createDataFrame(rows, SCHEMA))
+    assert model.languages == [f"l{k:02}" for k in range(70)] + ["zz"]
+    mean, _ = model.scores(pa.array([r[1] for r in rows]))
+    assert [model.languages[i] for i in mean[:, :-1].argmax(axis=1)] == [r[2] for r in rows]
+
+
 def test_edge_cases(spark):
     rows = docs(60) + [(100, None, "en", "s1", ""), (101, "", None, None, ""), (102, "123 456 !!", "de", "s1", ""), (103, "the of and to", None, None, ""), (3, "und der die", "de", "s2", ""), (None, "le la les des", "fr", "", "")]
     df = spark.createDataFrame(rows, SCHEMA)
