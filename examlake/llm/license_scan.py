@@ -87,7 +87,7 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "lgpl-short": ("licensed under the gnu lesser general public license version 3", "licensed under the gnu lesser general public license version 2.1"),
     "agpl-short": ("licensed under the gnu affero general public license version 3",),
     "mpl-short": (
-        "this source code form is subject to the terms of the mozilla public license v. 2.0",
+        "this source code form is subject to the terms of the mozilla public license v",  # the stop of "v. 2.0" ends it
         "licensed under the mozilla public license version 2.0",
     ),
     "cc-by-short": ("licensed under cc by 4.0", "this work is licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"),

@@ -60,3 +60,12 @@ def test_the_gate_lets_every_spacing_through(spark):
     assert [(r.sentence_ids, r.licenses) for r in got] == [("<reserved>", "All-Rights-Reserved")] * len(rows)
     own = license_scan(spark.createDataFrame([(1, "Feel free!", ""), (2, "other", "")], SCHEMA), {"a": ("feel free",)}, (("A", ("a",)),)).collect()
     assert [r.licenses for r in own] == ["A", ""]
+
+
+def test_every_sentence_is_found_as_text(spark):
+    known = [(s, k) for k, v in SENTENCES.items() for s in v]
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"
+    rows = [(i, f"Some words. {s.capitalize()}. More words.", "") for i, (s, _) in enumerate(known)] + [(-1, mpl, "")]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[-1].licenses == "MPL-2.0"
+    assert [got[i].sentence_ids for i in range(len(known))] == [f"<{k}>" for _, k in known]
