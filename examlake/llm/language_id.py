@@ -96,13 +96,13 @@ class TextModel:
 def fit_text_model(labelled: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", label: str = "lang") -> TextModel:
     """Fit to at most fit_rows labelled rows of each language: those of up to FIT_CHARS characters with the smallest hashes, then the shortest longer ones.
 
-    Every label with a text is fitted. This sample is the only bounded one;
+    Copies of a text count once. Every label with a text is fitted. This sample is the only bounded one;
     everything else covers all rows.
     """
     t, long = F.col(text), F.when(F.length(text) > FIT_CHARS, F.length(text)).otherwise(0)
     rows = labelled.filter(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("lang"), F.xxhash64(t).alias("h"), long.alias("long"), t.alias("t"))
-    ranked = rows.select("lang", "long", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h")))
-    taken = ranked.filter(F.col("rank") <= fit_rows).select("lang", "h").distinct()
+    ranked = rows.select("lang", "long", "h").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h")))
+    taken = ranked.filter(F.col("rank") <= fit_rows).select("lang", "h")
     sample = rows.join(taken, ["lang", "h"]).groupBy("lang", "h").agg(F.min("t").alias("t")).select("lang", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

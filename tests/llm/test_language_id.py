@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from examlake.llm.language_id import TextModel, accepted_documents, document_evidence, fit_text_model, identify, page_evidence
 
@@ -35,6 +36,15 @@ def test_every_label_is_fitted(spark):
     assert [model.languages[i] for i in mean[:, :-1].argmax(axis=1)] == [r[2] for r in rows]
 
 
+def test_copies_fill_no_sample(spark):
+    rows = [(i, f"text {i}", "en", "s", "x") for i in range(20)]
+    by_hash = spark.createDataFrame(rows, SCHEMA).orderBy(F.xxhash64("text")).collect()
+    rows += [(100 + i, by_hash[0].text, "en", "s", "x") for i in range(50)]
+    model = fit_text_model(spark.createDataFrame(rows, SCHEMA), 10)
+    want = TextModel.fit([(r.text, "en") for r in by_hash[:10]])
+    assert (model.log_prob == want.log_prob).all()
+
+
 def test_edge_cases(spark):
     rows = docs(60) + [(100, None, "en", "s1", ""), (101, "", None, None, ""), (102, "123 456 !!", "de", "s1", ""), (103, "the of and to", None, None, ""), (3, "und der die", "de", "s2", ""), (None, "le la les des", "fr", "", "")]
     df = spark.createDataFrame(rows, SCHEMA)
