@@ -101,18 +101,25 @@ def write_summary(questions: DataFrame, path: str) -> None:
     _write_lines(questions, summary_lines(questions), path)
 
 
-def validation_lines(found: DataFrame, questions: DataFrame, limit: int = 50) -> list[str]:
+def validation_lines(found: DataFrame, questions: DataFrame) -> DataFrame:
+    """value: the report's lines in order, with every critical and major issue."""
     s = validate.validation_scores(found, questions).first()
-    lines = ["# Validation Report", "", f"- Questions: {s['total']}", f"- Accuracy: {s['accuracy']:.2%}", f"- Completeness: {s['completeness']:.2%}", f"- Quality: {s['quality']:.2%}", f"- Status: {s['status']}"]
-    for level in ("critical", "major"):
-        rows = found.filter(F.col("severity") == level).orderBy("source", "page_number", "question_id", "issue_type", "description").limit(limit).collect()
-        lines += ["", f"## {level.capitalize()} issues: {s[level]}", ""] + [f"- {r['question_id']} (page {r['page_number']}): {r['issue_type']} - {r['description']}" for r in rows]
+    head = ["# Validation Report", "", f"- Questions: {s['total']}", f"- Accuracy: {s['accuracy']:.2%}", f"- Completeness: {s['completeness']:.2%}", f"- Quality: {s['quality']:.2%}", f"- Status: {s['status']}"]
     advice = [(s["accuracy"] < 0.8, "Improve text extraction"), (s["completeness"] < 0.9, "Review missing options and texts"), (s["critical"] > 0, "Fix critical issues first")]
-    return lines + ["", "## Recommendations", ""] + [f"- {x}" for on, x in advice if on]
+    levels = ("critical", "major")
+    fixed = [head] + [["", f"## {level.capitalize()} issues: {s[level]}", ""] for level in levels] + [["", "## Recommendations", ""] + [f"- {x}" for on, x in advice if on]]
+    order = ["source", "page_number", "question_id", "issue_type", "description"]
+    lines = questions.sparkSession.createDataFrame([(2 * i, k, x) for i, part in enumerate(fixed) for k, x in enumerate(part)], "part int, line int, value string")
+    for i, level in enumerate(levels):
+        text = F.concat(F.lit("- "), F.coalesce("question_id", F.lit("None")), F.lit(" (page "), F.coalesce(F.col("page_number").cast("string"), F.lit("None")), F.lit("): "), F.col("issue_type"), F.lit(" - "), F.coalesce("description", F.lit("None")))
+        rows = found.filter(F.col("severity") == level).select(F.lit(2 * i + 3).alias("part"), *order, text.alias("value"))
+        lines = lines.unionByName(rows, allowMissingColumns=True)
+    return lines.orderBy("part", "line", *order).select("value")
 
 
 def write_validation(found: DataFrame, questions: DataFrame, path: str) -> None:
-    _write_lines(questions, validation_lines(found, questions), path)
+    """The report as text files that sort in its order."""
+    validation_lines(found, questions).write.mode("overwrite").text(path)
 
 
 def write_comparison(questions: DataFrame, cache: DataFrame, path: str, config: EngineConfig = DEFAULT) -> None:

@@ -159,6 +159,17 @@ def test_sources_and_sinks(spark, store, tmp_path):
         writers.rewrite_clean(str(tmp_path / "in2"), str(tmp_path / "in3"), spark)
 
 
+def test_validation_report_lists_every_issue(spark, store, tmp_path):
+    rows = [(f"Q{i:03}", "t", level, "d", 1 + i % 7, "s") for i in range(120) for level in ("critical", "major", "minor")]
+    found = spark.createDataFrame(rows, "question_id string, issue_type string, severity string, description string, page_number int, source string")
+    writers.write_validation(found, store, str(tmp_path / "report"))
+    lines = [x for f in sorted(os.listdir(tmp_path / "report")) if f.startswith("part-") for x in (tmp_path / "report" / f).read_text().splitlines()]
+    listed = [f"- Q{i:03} (page {p}): t - d" for p, i in sorted((1 + i % 7, i) for i in range(120))]
+    at, other = lines.index("## Critical issues: 120"), lines.index("## Major issues: 120")
+    assert lines[0] == "# Validation Report" and lines[at + 2 : other - 1] == listed
+    assert lines[other + 2 : lines.index("## Recommendations") - 1] == listed
+
+
 def test_pdf_plug_in(spark, tmp_path):
     for n in ("Questions_1.pdf", "Questions_2.pdf", "other.pdf"):
         (tmp_path / n).write_bytes(b"bad" if n.endswith("2.pdf") else b"page one\fpage two")
