@@ -558,6 +558,35 @@ def _faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.issues(_dirty(spark, sf_dir), _cache(spark, sf_dir), similarity=False).groupBy("issue_type", "severity").agg(F.count(F.lit(1)).alias("issues"))
 
 
+# The four queries above leave out the comparison of descriptions with page texts, for SQL has no counterpart of it;
+# these are the whole checks.
+
+
+def _checked(q: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.issues(q, _cache(spark, sf_dir))
+
+
+@query("validation_issues_full")
+def _issues_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(questions(spark, sf_dir), spark, sf_dir).select("question_id", "source", "page_number", "issue_type", "severity")
+
+
+@query("validation_scores_full")
+def _scores_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = questions(spark, sf_dir)
+    return validate.validation_scores(_checked(q, spark, sf_dir), q)
+
+
+@query("severity_breakdown_full")
+def _severity_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(questions(spark, sf_dir), spark, sf_dir).groupBy("severity").agg(F.count(F.lit(1)).alias("issues"))
+
+
+@query("validation_faults_full")
+def _faults_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(_dirty(spark, sf_dir), spark, sf_dir).groupBy("issue_type", "severity").agg(F.count(F.lit(1)).alias("issues"))
+
+
 @query("triage", f"WITH {_BASE} SELECT source, unique_id, CASE k % 5 WHEN 0 THEN 'critical' ELSE CASE WHEN n = 2 THEN 'major' ELSE 'good' END END AS class FROM base")
 def _triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.triage(_dirty(spark, sf_dir)).select("source", "unique_id", "class")
