@@ -173,7 +173,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     sequences have window ids, but for the last of each shard, whose lengths are
     powers of two. Shards hold shard_docs documents at most, consecutive ones of
     an order by content; equal ones by hashed doc_id, ids and row, so that groups
-    of copies of any size are cut as well. Retrieval sees a document's own shard.
+    of copies of any size are cut as well. Where shards begin depends on a sample
+    of the rows, so two runs can pack alike documents differently. Retrieval sees a document's own shard.
     Rows with one doc_id are separate documents. Only doc_id and text are read;
     an empty table gives an empty result.
     """
@@ -228,7 +229,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["term", "df"])
 
     outline = f"doc_id {kind}, doc_tokens long, whole array<long>, rest binary, width int, terms binary, tf binary"
-    tokens = materialize(docs.select("doc_id", "text").mapInArrow(tokenize, outline), "packing-tokens")
+    tokens = docs.select("doc_id", "text").mapInArrow(tokenize, outline)
+    tokens = materialize(tokens.withColumn("salt", F.xxhash64("doc_id", "rest", F.monotonically_increasing_id())), "packing-tokens")
     n, ids = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()
     counts = tokens.select("terms", "width").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # a row for each of the vocabulary at most
     df = np.zeros(int(counts["term"].max()) + 1 if len(counts) else 1, np.int64)
@@ -248,8 +250,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(keys[:, k]) for k in range(KEYS)]], [*batch.schema.names, *order_by[:KEYS]])
 
     order_by = [f"key{k}" for k in range(KEYS)] + ["salt"]
-    salted = tokens.mapInArrow(keyed, outline + "".join(f", {c} long" for c in order_by[:KEYS]))
-    salted = salted.withColumn("salt", F.xxhash64("doc_id", "rest", F.monotonically_increasing_id()))
+    salted = tokens.mapInArrow(keyed, outline + ", salt long" + "".join(f", {c} long" for c in order_by[:KEYS]))
     # a few shards in each partition, so that few of them are cut short by its end
     parts = max(1, min(-(-n // (4 * shard_docs)), 64 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     tokens = salted.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by).drop(*order_by)
