@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -35,15 +37,20 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
 
     This cuts the lineage: a lost executor costs no recomputation of what came
     before, and values that depend on the partitioning (row numbers) are fixed.
-    Partitions are merged to a few for each core, so that small tables don't
-    become thousands of files, but with many shuffle partitions no more than 16
-    of them; a merged task works through one at a time. rows, an upper bound of
-    a narrow table's rows, makes that a file for each FILE_ROWS of them.
+    Partitions are merged by their bytes at run time (AQE), so tasks don't grow
+    with the table. Only where that is switched off, they are merged to a few
+    for each core, with many shuffle partitions 16 to a task, so that small
+    tables don't become thousands of files. rows, an upper bound of a narrow
+    table's rows, makes that a file for each FILE_ROWS of them.
     """
     spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = max(3 * spark.sparkContext.defaultParallelism, partitions // 16, 1)
-    df = df.coalesce(files if rows is None else max(1, min(files, -(-rows // FILE_ROWS))))
+    files = None if rows is None else max(1, -(-rows // FILE_ROWS))
+    if any(spark.conf.get(f"spark.sql.adaptive.{k}", "true") == "false" for k in ("enabled", "coalescePartitions.enabled")):
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        most = max(3 * spark.sparkContext.defaultParallelism, partitions // 16, 1)
+        files = most if files is None else min(files, most)
+    if files is not None:
+        df = df.coalesce(files)
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -87,3 +94,9 @@ def quiet_worker() -> None:
     os.environ["RAYON_NUM_THREADS"] = "1"
     pa.set_cpu_count(1)
     pa.set_memory_pool(pa.system_memory_pool())
+
+
+def give_back() -> None:
+    """Return a Python worker's freed memory to the machine; workers live on between tasks, beside the JVM."""
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .tokens import WordEncoder, slices_by_bytes
 
 WINDOW = 2048
@@ -54,13 +54,20 @@ class Corpus:
 
 def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The documents' distinct terms in turn, how often each is held, and where each document's begin (one more than documents)."""
-    ids = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
-    pairs, tf = np.unique((np.repeat(np.arange(len(docs)), [len(d) for d in docs]) << 32) | ids, return_counts=True)
-    return pairs & 0xFFFFFFFF, tf, np.searchsorted(pairs >> 32, np.arange(len(docs) + 1))
+    return counted_flat(np.concatenate(docs) if docs else np.zeros(0, np.int64), np.cumsum([0] + [len(d) for d in docs]))
+
+
+def counted_flat(ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """counted() of documents in a row, given where each begins (one more than documents)."""
+    n = len(begin) - 1
+    small = n < 1 << 16 and (ids.itemsize <= 2 or not len(ids) or int(ids.max()) < 1 << 16)
+    kind, bits = (np.uint32, 16) if small else (np.uint64, 32)  # narrow keys sort faster
+    pairs, tf = np.unique((np.repeat(np.arange(n, dtype=kind), np.diff(begin)) << kind(bits)) | ids.astype(kind), return_counts=True)
+    return (pairs & kind((1 << bits) - 1)).astype(np.int64), tf, np.searchsorted(pairs >> kind(bits), np.arange(n + 1))
 
 
 class Bm25Index:
-    """Inverted index over token-id arrays; BM25 with the usual k1 and b.
+    """Inverted index over token-id arrays; BM25 with the usual k1 and b, a query's terms counting once each.
 
     held, if given, has the terms of longer texts that docs are parts of (see
     counted) and the lengths of these; corpus, if given, covers more documents.
@@ -69,35 +76,33 @@ class Bm25Index:
     def __init__(
         self,
         docs: list[np.ndarray],
-        query_terms: int = 32,
         held: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None,
         corpus: Corpus | None = None,
     ) -> None:
         n = len(docs)
         term, tf, begin, sizes = held or (*counted(docs), np.fromiter(map(len, docs), np.int64, n))
-        terms, code, df = np.unique(term, return_inverse=True, return_counts=True)
+        terms, code = np.unique(term, return_inverse=True)
         corpus = corpus or Corpus(n, sizes.mean() if n else 1.0, np.bincount(term))
         owner = np.repeat(np.arange(n), np.diff(begin))
         weight = corpus.weight(term, tf, sizes[owner])
         by_term = np.argsort(code, kind="stable")
-        term, self.doc, self.weight = code[by_term], owner[by_term], weight[by_term]
-        self.begin = np.concatenate([[0], np.cumsum(df)])
-        order = np.argsort(self.doc, kind="stable")
-        self.query_term, self.query_weight = term[order], self.weight[order]
-        self.query_begin = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.n, self.query_terms = n, query_terms
+        self.doc, self.weight = owner[by_term], weight[by_term]
+        self.begin = np.searchsorted(code[by_term], np.arange(len(terms) + 1))
+        self.query_term, self.query_begin, self.n = code, begin, n
 
     def scores(self, doc: int) -> np.ndarray:
-        """Every document's score for the query made of doc's ``query_terms`` weightiest terms."""
-        at = slice(self.query_begin[doc], self.query_begin[doc + 1])
-        terms, weight = self.query_term[at], self.query_weight[at]
-        if len(terms) > self.query_terms:
-            terms = terms[np.argsort(-weight, kind="stable")[: self.query_terms]]
-        begin, size = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        post = np.repeat(begin - (ends - size), size) + np.arange(total)
-        return np.bincount(self.doc[post], self.weight[post], minlength=self.n)
+        """Every document's score for the query made of all of doc's terms (0 for documents that forget() has left out)."""
+        terms = self.query_term[self.query_begin[doc] : self.query_begin[doc + 1]]
+        if not len(terms):
+            return np.zeros(self.n)
+        cuts = list(zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist(), strict=True))
+        return np.bincount(np.concatenate([self.doc[a:b] for a, b in cuts]), np.concatenate([self.weight[a:b] for a, b in cuts]), minlength=self.n)
+
+    def forget(self, gone: np.ndarray) -> None:
+        """Leave documents (a mask) out of the posting lists; they can still be asked for."""
+        keep = ~gone[self.doc]
+        self.begin = np.concatenate([[0], np.cumsum(keep)])[self.begin]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
 
 
 def fill_windows(docs: list[np.ndarray], window: int, held: tuple | None = None, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
@@ -107,7 +112,7 @@ def fill_windows(docs: list[np.ndarray], window: int, held: tuple | None = None,
     unused = np.fromiter((s > 0 for s in sizes), bool, len(docs))
     begun = np.zeros(len(docs), np.int64)
     out: list[list[tuple[int, int, int]]] = []
-    seed, scan = -1, 0
+    seed, scan, listed = -1, 0, len(docs)
     while True:
         if seed < 0:
             while scan < len(docs) and not unused[scan]:
@@ -126,6 +131,9 @@ def fill_windows(docs: list[np.ndarray], window: int, held: tuple | None = None,
                 if not len(free):
                     break
                 if score is None:
+                    if len(free) < 0.75 * listed:
+                        index.forget(~unused)
+                        listed = len(free)
                     score = index.scores(seed)
                 s = score[free]
                 few = np.argpartition(-s, depth)[:depth] if len(free) > depth else np.arange(len(free))
@@ -174,7 +182,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     powers of two. Shards hold shard_docs documents at most, consecutive ones of
     an order by content; equal ones by hashed doc_id, ids and row, so that groups
     of copies of any size are cut as well. Where shards begin depends on a sample
-    of the rows, so two runs can pack alike documents differently. Retrieval sees a document's own shard.
+    of the rows, so two runs can pack alike documents differently. Retrieval asks with all terms of a whole
+    document and sees the whole documents of its shard. Rows that agree in all ids are interchangeable.
     Rows with one doc_id are separate documents. Only doc_id and text are read;
     an empty table gives an empty result.
     """
@@ -186,15 +195,14 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             texts = batch.column(batch.schema.get_field_index("text"))
             for at, n in slices_by_bytes(texts, 16_000_000):
                 ids, begin = encoder.encode(texts.slice(at, n))
-                totals, whole, rest, owns = [], [], [], []
-                for i in range(n):
-                    own = np.append(ids[begin[i] : begin[i + 1]], encoder.dtype.type(end_id))
-                    full = len(own) // window
-                    owns.append(own)
-                    totals.append(len(own))
+                ids, begin = np.insert(ids, begin[1:], end_id), begin + np.arange(n + 1)
+                totals, whole, rest = np.diff(begin), [], []
+                for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                    own = ids[x:y]
+                    full = (y - x) // window
                     whole.append([crc(own[k * window : (k + 1) * window]) for k in range(full)])
-                    rest.append((own if with_ids else own[full * window :]).astype("<u4" if encoder.dtype.itemsize == 4 else "<u2").tobytes())
-                term, tf, cuts = counted(owns)
+                    rest.append((own if with_ids else own[full * window :]).tobytes())
+                term, tf, cuts = counted_flat(ids, begin)
                 term, tf = term.astype("<u4" if encoder.dtype.itemsize == 4 else "<u2"), tf.astype("<u4")
                 parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -210,12 +218,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                     ["doc_id", "doc_tokens", "whole", "rest", "width", "terms", "tf"],
                 )
 
-    def held_by(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        raw, width = table.column("terms").to_pylist(), table.column("width").to_pylist()
-        term = [np.frombuffer(r, "<u2" if w == 2 else "<u4") for r, w in zip(raw, width, strict=True)]
+    def held_by(terms: pa.Array, tf: pa.Array, width: pa.Array, doc_tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        term = [np.frombuffer(r, "<u2" if w == 2 else "<u4") for r, w in zip(terms.to_pylist(), width.to_pylist(), strict=True)]
         none = [np.zeros(0, np.int64)]
-        tf = np.frombuffer(b"".join(table.column("tf").to_pylist()), "<u4").astype(np.int64)
-        return np.concatenate(none + term).astype(np.int64), tf, np.cumsum([0] + [len(t) for t in term]), np.array(table.column("doc_tokens").to_pylist(), np.int64)
+        often = np.frombuffer(b"".join(tf.to_pylist()), "<u4").astype(np.int64)
+        return np.concatenate(none + term).astype(np.int64), often, np.cumsum([0] + [len(t) for t in term]), np.array(doc_tokens.to_pylist(), np.int64)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(0, np.int64)
@@ -238,19 +245,23 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     corpus = docs.sparkSession.sparkContext.broadcast(Corpus(n, ids / max(n, 1), df))
     mixed = np.random.default_rng(0).permutation(len(df))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    order_by = [f"key{k}" for k in range(KEYS)] + ["salt"]
+
+    @F.arrow_udf("struct<" + ",".join(f"{c}:long" for c in order_by[:KEYS]) + ">")
+    def keyed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch in batches:
-            term, tf, begin, size = held_by(batch)
-            weight = corpus.value.weight(term, tf, np.repeat(size, np.diff(begin)))
-            keys = np.full((batch.num_rows, KEYS), -1, np.int64)
+            term, tf, begin, size = held_by(*batch)
+            weight = -corpus.value.weight(term, tf, np.repeat(size, np.diff(begin)))
+            mix = mixed[term]
+            keys = np.full((len(size), KEYS), -1, np.int64)
             for i, (x, y) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
-                top = np.argsort(-weight[x:y], kind="stable")[:KEY_TERMS]
-                least = np.sort(mixed[term[x:y][top]])[:KEYS]
+                least = np.sort(mix[x:y][np.argsort(weight[x:y], kind="stable")[:KEY_TERMS]])[:KEYS]
                 keys[i, : len(least)] = least
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(keys[:, k]) for k in range(KEYS)]], [*batch.schema.names, *order_by[:KEYS]])
+            yield pa.StructArray.from_arrays([pa.array(keys[:, k]) for k in range(KEYS)], order_by[:KEYS])
 
-    order_by = [f"key{k}" for k in range(KEYS)] + ["salt"]
-    salted = tokens.mapInArrow(keyed, outline + ", salt long" + "".join(f", {c} long" for c in order_by[:KEYS]))
+    # written, for dealing by ranges reads its input twice
+    salted = materialize(tokens.select("*", keyed("terms", "tf", "width", "doc_tokens").alias("keys")).select(*tokens.columns, "keys.*"), "packing-keyed")
+    discard(tokens)
     # a few shards in each partition, so that few of them are cut short by its end
     parts = max(1, min(-(-n // (4 * shard_docs)), 64 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     tokens = salted.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by).drop(*order_by)
@@ -261,8 +272,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         totals = table.column("doc_tokens").to_pylist()
         whole = table.column("whole").to_pylist()
         raw = [np.frombuffer(r, "<u2" if w == 2 else "<u4") for r, w in zip(table.column("rest").to_pylist(), table.column("width").to_pylist(), strict=True)]
-        term, tf, begin, sizes = held_by(table)
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, totals[i], raw[i].tobytes()[:64]))
+        term, tf, begin, sizes = held_by(*[table.column(c) for c in ("terms", "tf", "width", "doc_tokens")])
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, totals[i], whole[i], raw[i].tobytes()))
         rows: list[tuple] = []
         tails = []
         for i in order:

@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 import xxhash
 
 from .common import quiet_worker
+from .tokens import word_list
 
 _WHITE = bytes(range(9, 14))
 #: Byte table: A-Z to a-z, and each of the white-space bytes to a space.
@@ -49,7 +50,7 @@ class Shingler:
         bounds = parts.offsets.to_numpy().astype(np.int64)
         flat = parts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
-        distinct = flat.dictionary.to_pylist()
+        distinct = word_list(flat.dictionary)
         codes = flat.indices.to_numpy()
         real = np.fromiter((w != "" for w in distinct), bool, len(distinct))[codes] if len(codes) else np.zeros(0, bool)
         h = self._hashes(distinct)[codes[real]] if len(codes) else np.zeros(0, np.uint64)
