@@ -16,6 +16,8 @@ from .common import materialize
 SEED = 7
 #: A mean above this is drawn as the sum of several smaller Poisson draws, since exp(-mean) runs out of digits.
 LARGEST_MEAN = 256.0
+#: Copies of a row that one task makes at a time.
+COPIES_PER_TASK = 10_000
 
 
 def md5_unit(*parts: Column) -> Column:
@@ -42,10 +44,13 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
     """source, rate: the mean number of copies of a source's documents.
 
     Shares are counted in characters. weights gives the target weights (sources
-    that it doesn't name get 0); None gives all sources one weight. total is
-    the expected size of the result as a multiple of the input. A source without
-    any character has rate total.
+    that it doesn't name get 0; a negative one is an error; without a positive
+    one nothing is kept); None gives all sources one weight. total is the
+    expected size of the result as a multiple of the input. A source with a
+    weight but without any character has rate total.
     """
+    if weights and min(weights.values()) < 0:
+        raise ValueError("weights must not be negative")
     size = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("chars"))
     if weights is None:
         size = size.withColumn("weight", F.lit(1.0))
@@ -58,33 +63,44 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
     chars, weight = size.filter("chars > 0").agg(F.sum("chars"), F.sum("weight")).first()
     return size.select(
         "source",
-        F.when(F.col("chars") > 0, F.lit(chars or 0.0) * F.lit(float(total)) * F.col("weight") / F.lit(weight or 1.0) / F.col("chars"))
+        F.when(F.col("weight") <= 0, F.lit(0.0))
+        .when(F.col("chars") > 0, F.lit(chars or 0.0) * F.lit(float(total)) * F.col("weight") / F.lit(weight or 1.0) / F.col("chars"))
         .otherwise(F.lit(float(total)))
         .alias("rate"),
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, seed: int = SEED, copies_per_task: int = COPIES_PER_TASK) -> DataFrame:
     """Every column of docs, and copy (from 1) and order_key, in the order of order_key over the whole result.
 
     The count of copies depends on doc_id, seed and the source's rate alone:
     repeated rows of one doc_id get one count. A null source is a source like
     others; a null doc_id draws as an empty one; null and empty texts take part.
-    Columns of docs named copy or order_key are replaced. An empty table gives
-    an empty result.
+    Copies are made in blocks of copies_per_task; where a source's rate is
+    above that, blocks are dealt to tasks first. Columns of docs named copy or
+    order_key are replaced. An empty table gives an empty result.
     """
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = {c: f"doc_{i}" for i, c in enumerate(docs.columns)}  # names that clash with none of the operator's
+    row = docs.toDF(*own.values())
+    doc_id, source = F.col(own["doc_id"]), F.col(own["source"])
     rate = rates(docs, weights, total).select(F.col("source").alias("rate_of"), "rate")
-    row = row.join(rate, row["doc.source"].eqNullSafe(rate["rate_of"]), "left")
+    highest = rate.agg(F.max("rate")).first()[0] or 0.0
+    row = row.join(rate, source.eqNullSafe(F.col("rate_of")), "left").filter("rate > 0")
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_MEAN).cast("int"))
-    one = lambda i: poisson_inverse(md5_unit(F.lit(seed), F.col("doc.doc_id"), i), F.col("rate") / parts)
+    one = lambda i: poisson_inverse(md5_unit(F.lit(seed), doc_id, i), F.col("rate") / parts)
     copies = F.aggregate(F.transform(F.sequence(F.lit(1), parts), one), F.lit(0), lambda a, x: a + x)
-    row = row.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    keep = [F.col("doc")[c].alias(c) for c in docs.columns if c not in ("copy", "order_key")]
-    key = md5_unit(F.lit(f"order{seed}"), F.col("doc.doc_id"), F.col("copy"))
+    row = row.withColumn("copies", copies).filter("copies > 0")
+    blocks = row.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("copies"), F.lit(copies_per_task))))
+    if highest > copies_per_task:
+        blocks = blocks.repartition(n, F.xxhash64(doc_id, "block"))
+    last = F.least(F.col("block") + copies_per_task - 1, F.col("copies"))
+    row = blocks.withColumn("copy", F.explode(F.sequence(F.col("block"), last)))
+    keep = [F.col(own[c]).alias(c) for c in docs.columns if c not in ("copy", "order_key")]
+    key = md5_unit(F.lit(f"order{seed}"), doc_id, F.col("copy"))
     out = row.select(*keep, F.col("copy").cast("int").alias("copy"), key.alias("order_key"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(n, "order_key").sortWithinPartitions("order_key")
+    # order_key is uniform, so equal ranges of it are equal parts, in order; nothing is sampled
+    return out.repartitionById(n, F.floor(F.col("order_key") * n).cast("int")).sortWithinPartitions("order_key")
 
 
 def mix_sql(seed: int = SEED) -> str:

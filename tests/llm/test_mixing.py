@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from examlake.llm.mixing import mix, poisson_inverse
@@ -45,6 +47,20 @@ def test_a_large_rate(spark):
     assert 1200 < n < 1600
 
 
+def test_copies_in_blocks(spark):
+    df = spark.createDataFrame([(i, "a", "rare", "", "", "") for i in range(4)] + [(10, "b" * 40_000, "big", "", "", "")], SCHEMA)
+    got = [tuple(r) for r in mix(df).collect()]  # about 5000 copies of each short row
+    assert 18_000 < len(got) < 22_500
+    assert [tuple(r) for r in mix(df, copies_per_task=37).collect()] == got
+
+
+def test_weights_that_keep_nothing(spark):
+    df = spark.createDataFrame([(1, "a", "s", "", "", ""), (2, "", "t", "", "", "")], SCHEMA)
+    assert mix(df, {"s": 0.0}).count() == 0 and mix(df, {"t": 0.0, "s": 1.0}).filter("source = 't'").count() == 0
+    with pytest.raises(ValueError):
+        mix(df, {"s": -1.0})
+
+
 def test_edge_cases(spark):
     rows = [(None, "abc", None, "", "", ""), (1, None, "s", "", "", ""), (1, None, "s", "", "", ""), (2, "", "t", "", "", "")]
     out = mix(spark.createDataFrame(rows, SCHEMA), total=3.0).collect()
