@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER
 
 # Identifier -> licence sentences, already normalised (lower case,
-# only letters, digits, "+", "." and "-", single spaces, no final stop).
+# only letters, digits, "+", "." and "-", single spaces, no final stop). Where a
+# licence's own sentence holds a ";" or the stop of "v. 2.0", which end a
+# sentence here, the part that tells the licence stands for it.
 SENTENCES: dict[str, tuple[str, ...]] = {
     "apache-grant": ("licensed under the apache license version 2.0 the license",),
     "apache-short": (
@@ -30,8 +32,13 @@ SENTENCES: dict[str, tuple[str, ...]] = {
         "you may not use this file except in compliance with the license",
         "you may not use this work except in compliance with the license",
     ),
-    "apache-copy": ("you may obtain a copy of the license at http www.apache.org licenses license-2.0", "you may obtain a copy of the license at"),
+    "apache-copy": (
+        "you may obtain a copy of the license at http www.apache.org licenses license-2.0",
+        "you may obtain a copy of the license at https www.apache.org licenses license-2.0",
+        "you may obtain a copy of the license at",
+    ),
     "apache-asis": (
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     ),
     "apache-limits": ("see the license for the specific language governing permissions and limitations under the license",),
@@ -77,13 +84,30 @@ SENTENCES: dict[str, tuple[str, ...]] = {
         "licensed under the gnu general public license version 3",
         "released under the gnu general public license version 3",
     ),
-    "gpl-free": (
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl3-free": (
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ),
+    "gpl2-free": (
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     ),
     "gpl-nowarranty": (
-        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+        "this program is distributed in the hope that it will be useful but without any warranty",
+        "without even the implied warranty of merchantability or fitness for a particular purpose",
+    ),
+    "gpl-details": (
+        "see the gnu general public license for more details",
+        "see the gnu lesser general public license for more details",
+        "see the gnu affero general public license for more details",
+    ),
+    "lgpl3-free": (
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ),
+    "lgpl21-free": (
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    ),
+    "agpl3-free": (
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     ),
-    "gpl-details": ("see the gnu general public license for more details",),
     "lgpl-short": ("licensed under the gnu lesser general public license version 3", "licensed under the gnu lesser general public license version 2.1"),
     "agpl-short": ("licensed under the gnu affero general public license version 3",),
     "mpl-short": (
@@ -108,8 +132,17 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "spdx-apache": ("spdx-license-identifier apache-2.0",),
     "spdx-mit": ("spdx-license-identifier mit",),
     "spdx-bsd3": ("spdx-license-identifier bsd-3-clause",),
+    "spdx-bsd2": ("spdx-license-identifier bsd-2-clause",),
+    "spdx-isc": ("spdx-license-identifier isc",),
+    "spdx-mpl": ("spdx-license-identifier mpl-2.0",),
+    "spdx-gpl2": ("spdx-license-identifier gpl-2.0-only", "spdx-license-identifier gpl-2.0"),
+    "spdx-gpl2-later": ("spdx-license-identifier gpl-2.0-or-later", "spdx-license-identifier gpl-2.0+"),
     "spdx-gpl3": ("spdx-license-identifier gpl-3.0-only", "spdx-license-identifier gpl-3.0"),
+    "spdx-gpl3-later": ("spdx-license-identifier gpl-3.0-or-later", "spdx-license-identifier gpl-3.0+"),
     "spdx-cc-by": ("spdx-license-identifier cc-by-4.0",),
+    "spdx-cc-by-sa": ("spdx-license-identifier cc-by-sa-4.0",),
+    "spdx-cc0": ("spdx-license-identifier cc0-1.0",),
+    "spdx-unlicense": ("spdx-license-identifier unlicense",),
 }
 
 # Ordered rules, longest first within a family.
@@ -128,21 +161,38 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("spdx-bsd3",)),
     ("BSD", ("bsd-short",)),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-nowarranty", "gpl-details")),
-    ("GPL-3.0-or-later", ("gpl-free",)),
+    ("BSD-2-Clause", ("spdx-bsd2",)),
+    ("ISC", ("spdx-isc",)),
+    ("GPL-3.0-or-later", ("gpl3-free", "gpl-nowarranty", "gpl-nowarranty", "gpl-details")),
+    ("GPL-3.0-or-later", ("gpl3-free",)),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-nowarranty", "gpl-nowarranty", "gpl-details")),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "gpl-nowarranty", "gpl-nowarranty", "gpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "gpl-nowarranty", "gpl-nowarranty", "gpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free", "gpl-nowarranty", "gpl-nowarranty", "gpl-details")),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("GPL-3.0-or-later", ("spdx-gpl3-later",)),
+    ("GPL-2.0-or-later", ("spdx-gpl2-later",)),
+    ("GPL-2.0", ("spdx-gpl2",)),
     ("GPL-3.0", ("gpl3-short",)),
     ("GPL-3.0", ("spdx-gpl3",)),
     ("GPL-2.0", ("gpl2-short",)),
     ("LGPL", ("lgpl-short",)),
     ("AGPL-3.0", ("agpl-short",)),
     ("MPL-2.0", ("mpl-short",)),
+    ("MPL-2.0", ("spdx-mpl",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-short",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-short",)),
     ("CC-BY-ND-4.0", ("cc-by-nd-short",)),
     ("CC-BY-4.0", ("cc-by-short",)),
     ("CC-BY-4.0", ("spdx-cc-by",)),
+    ("CC-BY-SA-4.0", ("spdx-cc-by-sa",)),
     ("CC0-1.0", ("cc0-short",)),
+    ("CC0-1.0", ("spdx-cc0",)),
     ("Unlicense", ("unlicense",)),
+    ("Unlicense", ("spdx-unlicense",)),
     ("All-Rights-Reserved", ("reserved",)),
 )
 
@@ -154,11 +204,16 @@ END = "\x01"
 def sentences(text: Column) -> Column:
     """The text's sentences, normalised but for their line breaks.
 
-    A sentence ends at stops before white space, at the text's end, and at a
-    blank line; a single line break is kept, for a sentence can be wrapped.
+    Whatever marks a line as a comment or an item (anything before its first
+    letter or digit) is left out first. A sentence ends at stops before white
+    space, at the text's end, at a blank line, at a colon that ends a line and
+    after an address that ends one; another single line break is kept, for a
+    sentence can be wrapped.
     """
     t = F.translate(text, UPPER, LOWER)
+    t = F.regexp_replace(t, "(?dm)^[^0-9a-z\\n]+", "")
     t = F.regexp_replace(t, "[.;!?]+(?:[ \\t\\r\\n]+|$)", END)
+    t = F.regexp_replace(t, "(?::|(://[^ \\t\\r\\n]+))[ \\t\\r]*\\n", f"$1{END}")
     t = F.regexp_replace(t, "\\n[ \\t\\r]*\\n", END)
     return F.split(F.regexp_replace(t, f"[^0-9a-z.+{END}\\n-]+", " "), END)
 
@@ -191,7 +246,7 @@ def license_scan(docs: DataFrame, sentence_ids: dict[str, tuple[str, ...]] | Non
         return F.when(at > 0, F.element_at(ids, F.greatest(at, F.lit(1)).cast("int"))).otherwise(F.lit(""))
 
     def clean(s: Column) -> Column:
-        return F.trim(F.regexp_replace(s, "[ .\\n]+$|[ \\n]+", " "))
+        return F.trim(F.regexp_replace(s, "[ .\\n-]+$|[ \\n]+", " "))
 
     def of_sentence(s: Column) -> Column:
         lines = F.transform(F.split(s, "\n"), lambda x: look(clean(x)))
@@ -213,36 +268,3 @@ def license_scan(docs: DataFrame, sentence_ids: dict[str, tuple[str, ...]] | Non
         F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("ruled", F.lit("\\{([^}]*)\\}"), 1))), ";").alias("licenses"),
         (F.length("ruled") - F.length(F.translate("ruled", "<", ""))).cast("long").alias("unruled"),
     )
-
-
-def license_scan_sql() -> str:
-    """The same scan over ``documents`` in DuckDB's SQL."""
-
-    def q(s: str) -> str:
-        return "'" + s.replace("'", "''") + "'"
-
-    known = [(s, k) for k, v in SENTENCES.items() for s in v]
-    keys = "[" + ", ".join(q(s) for s, _ in known) + "]"
-    ids = "[" + ", ".join(q(f"<{k}>") for _, k in known) + "]"
-
-    def clean(x: str) -> str:
-        return f"trim(regexp_replace({x}, '[ .\\n]+$|[ \\n]+', ' ', 'g'), ' ')"
-
-    def look(x: str) -> str:
-        return f"coalesce({ids}[list_position({keys}, {clean(x)})], '')"
-
-    ruled = "sentence_ids"
-    for name, parts in RULES:
-        ruled = f"replace({ruled}, {q(''.join(f'<{p}>' for p in parts))}, {q('{%s}' % name)})"
-    return f"""
-WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
-s AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(t, '[.;!?]+(?:[ \\t\\r\\n]+|$)', chr(1), 'g'),
-        '\\n[ \\t\\r]*\\n', chr(1), 'g'), '[^0-9a-z.+\\x01\\n-]+', ' ', 'g'), chr(1)) AS s FROM t),
-f AS (SELECT doc_id, list_transform(s, lambda x: CASE WHEN {look('x')} <> '' THEN {look('x')}
-        ELSE array_to_string(list_transform(string_split(x, chr(10)), lambda y: {look('y')}), '') END) AS f FROM s),
-g AS (SELECT doc_id, array_to_string(f, '') AS sentence_ids FROM f),
-r AS (SELECT *, {ruled} AS ruled FROM g)
-SELECT doc_id, sentence_ids,
-       array_to_string(list_sort(list_distinct(regexp_extract_all(ruled, '\\{{([^}}]*)\\}}', 1))), ';') AS licenses,
-       CAST(length(ruled) - length(replace(ruled, '<', '')) AS BIGINT) AS unruled
-FROM r"""

@@ -1,3 +1,5 @@
+import pytest
+
 from examlake.llm.license_scan import MARKERS, RULES, SENTENCES, license_scan
 
 SCHEMA = "doc_id long, text string, licenses string"
@@ -69,3 +71,52 @@ def test_every_sentence_is_found_as_text(spark):
     got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[-1].licenses == "MPL-2.0"
     assert [got[i].sentence_ids for i in range(len(known))] == [f"<{k}>" for _, k in known]
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+may be used to endorse or promote products derived from this software without
+specific prior written permission."""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * ", "-- ", "- ", "; ", "%% "])
+def test_headers_in_comments(spark, mark):
+    no_gaps = lambda t: "\n".join(x for x in t.split("\n") if x.strip())
+    texts = {"Apache-2.0": APACHE, "MIT": MIT, "BSD-3-Clause": BSD, "BSD-2-Clause": BSD[: BSD.index("3. ")], "GPL-2.0-or-later": GPL, "GPL-3.0-or-later": GPL.replace("version 2", "version 3")}
+    rows, want = [], []
+    for k, t in texts.items():
+        for t in (t, no_gaps(t) if k == "Apache-2.0" else t):
+            body = "\n".join((mark + x).rstrip() for x in t.split("\n"))
+            rows.append((len(rows), f"{mark}Copyright 2020 Some One\n{mark.rstrip()}\n{body}\n\ncode = 1\n", "x"))
+            want.append(k)
+    rows += [(100, f"{mark}SPDX-License-Identifier: MIT", ""), (101, f"{mark}Licensed under the MIT License", ""), (102, f"<!-- {mark}SPDX-License-Identifier: MIT -->\r\n", "")]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(got[i].licenses, got[i].unruled) for i in range(len(want))] == [(k, 0) for k in want]
+    assert [got[i].licenses for i in (100, 101, 102)] == ["MIT"] * 3
+    assert got[0].sentence_ids.count("<") == 5
