@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lower_ascii, materialize
+from .common import give_back, lower_ascii, materialize
 from .tokens import slices_by_bytes
 from .url_filter import url_parts
 
@@ -144,23 +144,29 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     )
 
 
-def document_evidence(docs: DataFrame) -> DataFrame:
-    """The same columns of a document: its lang is what is declared, its source is the host, and there is no address."""
-    return docs.select(
-        F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix")
-    )
+def document_evidence(docs: DataFrame, *keep: Column) -> DataFrame:
+    """The same columns of a document, and keep: its source is the host, and there is no address.
+
+    The text model is fitted to the label lang, so that is no evidence here: it
+    would count twice.
+    """
+    none = F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").alias("id"), "text", none.alias("declared"), F.col("source").alias("host"), none.alias("suffix"), *keep)
 
 
 def _counts(n: int) -> list[Column]:
     return [F.sum(F.when(F.col("guess") == i, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i in range(n)]
 
 
-def identify(rows: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame:
+def identify(rows: DataFrame, model: TextModel, least: float = 0.5, most_evidence: float = MOST_EVIDENCE) -> DataFrame:
     """id, language, probability, accepted, declared, text_language and the key column (if any) for every row.
 
     rows has id, text, declared, host, suffix (see page_evidence). A row is
     accepted if its text is likelier under its language than under a uniform
-    model and its posterior is ``least`` or more. A text without a letter (or a
+    model and its posterior is ``least`` or more. The text's mean log-likelihood
+    of a trigram counts as often as it has bytes of letters, most_evidence times
+    at most: the whole text is read, but its trigrams lean on each other, and a
+    long text would else outweigh all other evidence. A text without a letter (or a
     null) has no likelihood: its language comes from the other evidence, and it
     isn't accepted. Missing evidence (null) counts as none. Repeated rows repeat; an
     empty table gives an empty result. Other columns of rows pass through if
@@ -170,26 +176,21 @@ def identify(rows: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame
     n = len(langs)
     shared = rows.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages
     keep = [c for c in rows.columns if c.startswith("keep_")]
-    own_text = "text" in rows.columns
-    kept = [f for f in rows.schema.fields if f.name in ("id", "declared", "host", "suffix", *keep)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<mean:array<double>,letters:long>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for batch in batches:
-            if own_text:
-                texts = batch.column(batch.schema.get_field_index("text"))
-            else:
-                texts = pc.struct_field(batch.column(batch.schema.get_field_index("keep_doc")), "text")
-            for at, size in slices_by_bytes(texts, 2_000_000):
-                part = texts.slice(at, size)
-                mean, letters = m.scores(part)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index(f.name)).slice(at, size) for f in kept] + [pa.array(list(mean), pa.list_(pa.float64())), pa.array(letters, pa.int64())],
-                    [f.name for f in kept] + ["mean", "letters"],
-                )
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", mean array<double>, letters long"
-    scored = rows.select(*[f.name for f in kept], *["text"] * own_text).mapInArrow(run, schema)
+        width = m.log_prob.shape[1]
+        for texts in batches:
+            done = [(np.zeros((0, width)), np.zeros(0, np.int64))] + [m.scores(texts.slice(at, size)) for at, size in slices_by_bytes(texts, 2_000_000)]
+            mean, letters = (np.concatenate(x) for x in zip(*done, strict=True))
+            lists = pa.ListArray.from_arrays(np.arange(len(mean) + 1, dtype=np.int32) * width, mean.ravel())
+            yield pa.StructArray.from_arrays([lists, pa.array(letters, pa.int64())], ["mean", "letters"])
+            give_back()
+
+    # only the text goes to Python; the other columns stay where they are
+    scored = rows.select("id", "declared", "host", "suffix", *keep, score("text").alias("score"))
+    scored = scored.select("id", "declared", "host", "suffix", *keep, "score.mean", "score.letters")
     own = F.slice("mean", 1, n)
     scored = materialize(
         scored.withColumn("guess", F.when(F.col("letters") > 0, F.array_position(own, F.array_max(own)).cast("int") - 1)),
@@ -220,7 +221,7 @@ def identify(rows: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame
         table = materialize(table, f"language-{column}", whole[n])
         out = out.join(table, out[column] == table[f"{column}_of"], "left").drop(f"{column}_of")
     none, prior = F.array(*[F.lit(0.0)] * n), F.array(*[F.lit(float(np.log(b))) for b in base])
-    weight = F.when(F.col("letters") > 0, F.least(F.col("letters").cast("double"), F.lit(MOST_EVIDENCE))).otherwise(F.lit(0.0))
+    weight = F.when(F.col("letters") > 0, F.least(F.col("letters").cast("double"), F.lit(float(most_evidence)))).otherwise(F.lit(0.0))
     parts = [(F.col("mean"), weight), (F.coalesce("declared_log", none), F.lit(1.0)), (F.coalesce("suffix_log", none), F.lit(1.0)), (F.coalesce("host_log", prior), F.lit(1.0))]
     total = F.array(*[sum((a[i] * w for a, w in parts), F.lit(0.0)) for i in range(n)])
     out = out.withColumn("total", total).withColumn("best", F.array_max("total")).withColumn("at", F.array_position("total", F.col("best")).cast("int"))
@@ -239,9 +240,6 @@ def identify(rows: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame
 
 def accepted_documents(docs: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame:
     """The rows of docs that identify() accepts, whole, with lang set to the language found."""
-    keep = F.struct(*[docs[c] for c in docs.columns]).alias("keep_doc")
-    rows = docs.select(
-        F.col("doc_id").alias("id"), F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"), keep
-    )
-    found = identify(rows, model, least).filter("accepted")
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("keep_doc")
+    found = identify(document_evidence(docs, whole), model, least).filter("accepted")
     return found.select(*[(F.col("language") if c == "lang" else F.col("keep_doc")[c]).alias(c) for c in docs.columns])

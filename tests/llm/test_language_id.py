@@ -1,6 +1,9 @@
+import math
 import random
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from examlake.llm.language_id import TextModel, accepted_documents, document_evidence, fit_text_model, identify, page_evidence
@@ -71,6 +74,51 @@ def test_pages_fuse_evidence(spark):
     assert got[60].language == "de" and got[62].language == "en" and not got[61].accepted
 
 
+def fused(pages, model, most=64.0, smooth=5.0):
+    """Posterior of every language for rows (id, text, declared, host, suffix), by plain counting."""
+    langs = range(len(model.languages))
+    mean, letters = model.scores(pa.array([p[1] for p in pages]))
+    guess = [int(np.argmax(m[:-1])) if k else None for m, k in zip(mean, letters)]
+    count = lambda at, value: [sum(g == i for p, g in zip(pages, guess) if value is None or at(p) == value) for i in langs]
+    parent = lambda h: h and ".".join(h.split(".")[-2:])
+    seen = count(None, None)
+    base = [(x + 1) / (sum(seen) + len(seen)) for x in seen]
+    out = {}
+    for p, m, k in zip(pages, mean, letters):
+        score = [m[i] * min(k, most) for i in langs] if k else [0.0 for _ in langs]
+        for column in (2, 4):
+            own = count(lambda r: r[column], p[column]) if p[column] else []
+            if sum(own):
+                share = (sum(own) + 1) / (sum(seen) + 1)
+                score = [s + math.log((own[i] + smooth * share) / (seen[i] + smooth)) for i, s in zip(langs, score)]
+        own = count(lambda r: r[3], p[3]) if p[3] else []
+        up = count(lambda r: parent(r[3]), parent(p[3])) if p[3] else []
+        prior = base
+        if sum(own):
+            prior = [(own[i] + smooth * (up[i] + smooth * base[i]) / (sum(up) + smooth)) / (sum(own) + smooth) for i in langs]
+        score = [s + math.log(x) for s, x in zip(score, prior)]
+        top = max(score)
+        out[p[0]] = (model.languages[score.index(top)], 1 / sum(math.exp(s - top) for s in score))
+    return out
+
+
+@pytest.mark.parametrize("most", [64.0, 3.0])
+def test_the_posterior_is_that_of_plain_counting(spark, most):
+    rng = random.Random(2)
+    model = TextModel.fit([(t, x) for _, t, x, _, _ in docs(100)])
+    pages = []
+    for i in range(150):
+        lang = rng.choice(sorted(WORDS))
+        text = rng.choice([" ".join(rng.choice(WORDS[lang]) for _ in range(rng.randint(1, 9))), "12", "", None])
+        host = rng.choice(["a.x.de", "b.x.de", "x.de", "c.y.org", "y.org", "z", None])
+        pages.append((i, text, rng.choice([lang, "en", "xx", None]), host, host.split(".")[-1] if host and "." in host else None))
+    want = fused(pages, model, most)
+    got = identify(spark.createDataFrame(pages, "id long, text string, declared string, host string, suffix string"), model, most_evidence=most).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert (r.language, round(r.probability, 9)) == (want[r.id][0], round(want[r.id][1], 9))
+
+
 def test_scores_of_slices():
     model = TextModel.fit([(t, x) for _, t, x, _, _ in docs(50)])
     texts = pa.array(["the of", None, "", "und der", "é"])
