@@ -18,8 +18,9 @@ runs to delete. It also bounds the depth of doubling by ``min_words``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 from pyspark.sql.window import Window
 
 from .common import discard, materialize
@@ -28,9 +29,16 @@ MIN_WORDS = 50
 NULL_ID = -(2**63)
 
 
+def _did(doc_id: Column, kind: DataType) -> Column:
+    """A document's id as a key without nulls, in the order of ids with null first; ids that aren't integers are ordered as strings."""
+    if isinstance(kind, IntegralType):
+        return F.coalesce(doc_id.cast("long"), F.lit(NULL_ID))
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The row's key: doc_id (null: the least long) and a hash of its text; rows that agree in both are one document."""
-    return docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("th", F.xxhash64("text"))
+    """The row's key: its id and a hash of its text; rows that agree in both are one document."""
+    return docs.withColumn("did", _did(F.col("doc_id"), docs.schema["doc_id"].dataType)).withColumn("th", F.xxhash64("text"))
 
 
 def _ranked(rows: DataFrame, by: list[str], label: str, most: int | None = None) -> DataFrame:
@@ -138,7 +146,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Lines are compared without white space at their ends; blank lines are no
     lines of a run, but one between two deleted lines goes with them. The first copy in the
-    order of doc_id (null first), then a hash of the text, then the line stays;
+    order of doc_id (null first, others than integers as strings), then a hash of the text, then the line stays;
     copies within one document count too, overlapping ones included. A run has
     to have min_words words at least (words are parted by ASCII white space).
     Rows that agree in doc_id and text are one document and keep the same lines.
@@ -151,7 +159,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = runs.select(F.col("did").alias("run_did"), F.col("th").alias("run_th"), "runs")
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"))
     text = F.col("doc")["text"]
-    rows = rows.withColumn("did", F.coalesce(F.col("doc")["doc_id"].cast("long"), F.lit(NULL_ID))).withColumn("th", F.xxhash64(F.coalesce(text, F.lit(""))))
+    rows = rows.withColumn("did", _did(F.col("doc")["doc_id"], docs.schema["doc_id"].dataType)).withColumn("th", F.xxhash64(F.coalesce(text, F.lit(""))))
     # always a merge join: it costs in proportion at every size, and no list of runs has to fit anywhere
     rows = rows.join(runs.hint("merge"), (F.col("did") == F.col("run_did")) & (F.col("th") == F.col("run_th")), "left")
     left = F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))

@@ -80,3 +80,17 @@ def test_long_passage(spark):
     got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[0].text == rows[0][1]
     assert all(got[i].text == f"head {i}\ntail {i}" and got[i].n_chars == len(got[i].text) for i in range(1, 40))
+
+
+def test_ids_that_are_strings(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(k, f"{k}\n{passage}\nend", 0, "") for k in ("b", "a", None, "10")]
+    df = spark.createDataFrame(rows, SCHEMA.replace("doc_id long", "doc_id string"))
+    assert {r.doc_id: r.removed_lines for r in line_dedup(df).collect()} == {None: 0, "10": 1, "a": 1, "b": 1}
+
+
+def test_very_long_text(spark):
+    passage = "\n".join(f"w{i} x y" for i in range(40))
+    rows = [(0, "\n".join(f"own line {i}" for i in range(60_000)) + "\n" + passage, 0, ""), (1, passage + "\n" + "z " * 300_000, 0, "")]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0].removed_lines == 0 and got[1].removed_lines == 40 and got[1].text == "z " * 300_000
