@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialize, release
+from .common import discard, give_back, materialize, release
 from .components import connected_components
 from .shingles import Shingler, overlap
 from .tokens import slices_by_bytes
@@ -41,8 +41,10 @@ SIMILAR = (75, 100)
 FREQUENT = 1 << 18
 #: Shingles counted together before they are sent on, and candidates up to which a list of ids is broadcast.
 COUNTED_ROWS, BROADCAST_ROWS = 2_000_000, 1_000_000
+#: Groups whose prefix a task remembers having sent.
+SENT_GROUPS = 100_000
 #: Bytes of text that are shingled at once.
-SLICE = 8_000_000
+SLICE = 2_000_000
 #: Rows that share a frequent shingle and meet in one task.
 TOKEN_ROWS = 5_000
 
@@ -70,8 +72,11 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS, least: int = 8, most:
                 if size >= COUNTED_ROWS:
                     yield counted()
                     held, size = [], 0
+            give_back()
         if held:
             yield counted()
+        held = []
+        give_back()
 
     sums = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     top = sums.orderBy(F.col("n").desc(), "h").limit(most).toPandas()
@@ -135,6 +140,8 @@ def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], words: int
                     room = 0 if g[-1] in seen else room
                     prefix.append(p[:room].view(np.int64)), parts.append(-(-often[:room] // TOKEN_ROWS))
                     seen.add(g[-1])
+                if len(seen) > SENT_GROUPS:  # a prefix sent again changes nothing
+                    seen = set()
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
                 pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(prefix)), pa.array(np.concatenate(parts).astype(np.int32))], ["token", "parts"])
                 lists = pa.ListArray.from_arrays(pa.array(ends), pairs)
@@ -142,6 +149,7 @@ def signatures(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], words: int
                     [batch.column(0).slice(at, rows), batch.column(1).slice(at, rows)] + [pa.array(x, pa.int64()) for x in (n, f1, f2, g, r)] + [lists],
                     ["doc_id", "th", "n", "f1", "f2", "gkey", "rare", "prefix"],
                 )
+            give_back()
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, f1 long, f2 long, gkey long, rare long, prefix array<struct<token:long,parts:int>>")
@@ -197,6 +205,7 @@ def verified(
                     if den * same >= num * (len(head) + len(s) - same):
                         found.append((a, node))
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            give_back()
 
     return rows.mapInArrow(run, "a long, b long")
 
