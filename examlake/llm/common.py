@@ -30,6 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of a narrow table that go to one file.
 FILE_ROWS = 200_000
+#: Rows with whole texts that go to Python at a time.
+TEXT_ROWS = 2_000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Within it, plans that run send TEXT_ROWS rows to Python at a time: whole texts are held by the JVM, Arrow and Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(TEXT_ROWS, int(before)) if int(before) > 0 else TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, give_back, materialize, release
+from .common import discard, give_back, materialize, release, small_batches
 from .components import connected_components
 from .shingles import Shingler, overlap
 from .tokens import slices_by_bytes
@@ -79,7 +79,8 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS, least: int = 8, most:
         give_back()
 
     sums = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    top = sums.orderBy(F.col("n").desc(), "h").limit(most).toPandas()
+    with small_batches(docs.sparkSession):
+        top = sums.orderBy(F.col("n").desc(), "h").limit(most).toPandas()
     h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], n[order]
@@ -224,7 +225,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     columns of docs are not read.
     """
     order = frequent_shingles(docs, words)
-    sig = materialize(signatures(docs, order, words, similar), "signatures")
+    with small_batches(docs.sparkSession):
+        sig = materialize(signatures(docs, order, words, similar), "signatures")
     # one node for each distinct set; row: a document that holds it
     row = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("th"))
     nodes = sig.filter("n > 0").groupBy("f1", "f2").agg(F.min(row).alias("row"), F.min("n").alias("n"), F.min("gkey").alias("gkey"), F.min("rare").alias("rare"))
@@ -253,7 +255,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     inside = nodes.join(groups.filter("members > 1").select("gkey", F.col("head.node").alias("a")), "gkey").filter("node <> a").select("a", F.col("node").alias("b"))
     pairs = materialize(pairs.unionByName(inside), "pairs")
 
-    links = materialize(verified(pairs, nodes, docs, words, similar), "links")
+    with small_batches(docs.sparkSession):
+        links = materialize(verified(pairs, nodes, docs, words, similar), "links")
     comp = connected_components(links)
     comp = materialize(nodes.select("node", "gkey", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "components")
 
@@ -277,7 +280,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] =
     enough = (F.col("ga") == F.col("gb")) | (F.size(F.array_intersect("ta", "tb")) >= least_shared(F.least("na", "nb"), F.greatest("na", "nb"), similar))
     rest = materialize(both.filter(enough).select("a", "b"), "rest")
     discard(tokens, held, pairs)
-    more = materialize(verified(rest, nodes, docs, words, similar), "links")
+    with small_batches(docs.sparkSession):
+        more = materialize(verified(rest, nodes, docs, words, similar), "links")
     discard(rest)
     if not more.isEmpty():
         ends = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")

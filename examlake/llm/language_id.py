@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import give_back, lower_ascii, materialize
+from .common import give_back, lower_ascii, materialize, small_batches
 from .tokens import slices_by_bytes
 from .url_filter import url_parts
 
@@ -30,6 +30,8 @@ CHUNK = 1 << 20
 LOOKED_UP = CHUNK * 65
 #: Rows of each language that the text model is fitted to.
 FIT_ROWS = 400
+#: Parts that a language's rows are ranked in first.
+PARTS = 16
 #: Longer texts are taken into that sample, shortest first, only where a language has too few others.
 FIT_CHARS = 20_000
 #: A text's trigrams lean on each other; beyond this many, evidence grows no more.
@@ -101,8 +103,10 @@ def fit_text_model(labelled: DataFrame, fit_rows: int = FIT_ROWS, text: str = "t
     """
     t, long = F.col(text), F.when(F.length(text) > FIT_CHARS, F.length(text)).otherwise(0)
     rows = labelled.filter(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("lang"), F.xxhash64(t).alias("h"), long.alias("long"), t.alias("t"))
-    ranked = rows.select("lang", "long", "h").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h")))
-    taken = ranked.filter(F.col("rank") <= fit_rows).select("lang", "h")
+    # the first rows of each of a language's parts, then of the language: one task gets PARTS * fit_rows rows at most
+    first = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("long", "h"))).filter(F.col("rank") <= fit_rows).drop("rank")
+    parted = rows.select("lang", "long", "h").distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
+    taken = first(first(parted, "lang", "part"), "lang").select("lang", "h")
     sample = rows.join(taken, ["lang", "h"]).groupBy("lang", "h").agg(F.min("t").alias("t")).select("lang", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,10 +196,9 @@ def identify(rows: DataFrame, model: TextModel, least: float = 0.5, most_evidenc
     scored = rows.select("id", "declared", "host", "suffix", *keep, score("text").alias("score"))
     scored = scored.select("id", "declared", "host", "suffix", *keep, "score.mean", "score.letters")
     own = F.slice("mean", 1, n)
-    scored = materialize(
-        scored.withColumn("guess", F.when(F.col("letters") > 0, F.array_position(own, F.array_max(own)).cast("int") - 1)),
-        "language-scores",
-    )
+    scored = scored.withColumn("guess", F.when(F.col("letters") > 0, F.array_position(own, F.array_max(own)).cast("int") - 1))
+    with small_batches(rows.sparkSession):
+        scored = materialize(scored, "language-scores")
     cells = materialize(scored.filter("guess IS NOT NULL").groupBy("declared", "host", "suffix", "guess").agg(F.count(F.lit(1)).alias("n")), "language-cells")
     whole = cells.agg(*_counts(n), F.count(F.lit(1))).first()
     seen = [whole[i] or 0.0 for i in range(n)]
