@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 class EngineConfig:
     """Thresholds and switches; the defaults are those of the documented behaviour."""
 
+    input_directory: str = "./data/input"
     file_glob: str = "Questions_*.pdf"
     look_back: int = 20
     look_ahead: int = 50
@@ -25,6 +26,7 @@ class EngineConfig:
     description_chars: int = 200
     options_chars: int = 300
     report_rows: int = 20
+    # fixed values: the report's header
     columns: tuple[str, ...] = field(
         default=(
             "Question No",
@@ -33,7 +35,7 @@ class EngineConfig:
             "Community Answer",
             "Highly Voted Answer",
             "Most Recent Answer",
-            "Model Answer",
+            "Claude Answer",
             "Latest Date",
             "Topic",
             "Page Number",
@@ -41,5 +43,27 @@ class EngineConfig:
         )
     )
 
+    @classmethod
+    def of(cls, settings: dict) -> "EngineConfig":
+        """The defaults with what a configuration document holds of them (see FILE_KEYS); other keys are left alone."""
+        found = {}
+        for name, places in FILE_KEYS.items():
+            for section, key in places:
+                value = settings.get(section, {})
+                value = value.get(key) if isinstance(value, dict) else None
+                if value is not None:
+                    found[name] = tuple(value) if isinstance(value, list) else value
+        return cls(**found)
+
+
+#: Field -> (section, key) in configuration documents; a later one goes before.
+FILE_KEYS: dict[str, tuple[tuple[str, str], ...]] = {
+    "input_directory": (("paths", "input_directory"), ("pdf_processing", "input_directory")),
+    "file_glob": (("pdf_processing", "file_pattern"),),
+    "min_block_chars": (("question_detection", "minimum_question_length"),),
+    "requests_per_minute": (("claude", "requests_per_minute"), ("rate_limiting", "requests_per_minute")),
+    "model_attempts": (("claude", "max_retries"),),
+    "columns": (("output_format", "columns"),),
+}
 
 DEFAULT = EngineConfig()

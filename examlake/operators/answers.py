@@ -34,10 +34,21 @@ def option_lines(options: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(options), lambda o: F.concat(o["letter"], F.lit(". "), o["text"])), "\n")
 
 
-def prompts(questions: DataFrame, with_topic: bool = False) -> DataFrame:
-    """question_id, source, prompt for each question that has a description and options."""
+def template_of(document: dict) -> str:
+    """The prompt of a document of templates: system prompt, blank line, user template; the default one where it has none."""
+    own = document.get("question_analysis") or {}
+    if not own.get("user_template"):
+        return R.PROMPT
+    user = own["user_template"].replace("{question_text}", "{question}").replace("{options_text}", "{options}")
+    return "\n\n".join(x for x in (own.get("system_prompt", ""), user) if x)
+
+
+def prompts(questions: DataFrame, with_topic: bool = False, template: str | None = None) -> DataFrame:
+    """question_id, source, prompt for each question that has a description and options; template has {question} and {options}, and may have {topic}."""
     ready = questions.filter((F.col("description") != "") & (F.size("options") > 0))
-    if with_topic:
+    if template is not None:
+        prompt = _fill(template, topic=F.col("topic"), options=option_lines(F.col("options")), question=F.col("description"))
+    elif with_topic:
         prompt = _fill(R.CONTEXT_PROMPT, topic=F.col("topic"), options=option_lines(F.col("options")), question=F.col("description"))
     else:
         prompt = _fill(R.PROMPT, options=option_lines(F.col("options")), question=F.col("description"))

@@ -58,6 +58,25 @@ class ErrorLog:
             return False
         return True
 
+    def check_memory(self, least_mb: float = 100.0, meminfo: str = "/proc/meminfo") -> bool:
+        """Whether the driver's machine has as much memory left; unknown counts as enough."""
+        try:
+            with open(meminfo, encoding="ascii") as f:
+                free = next(int(x.split()[1]) / 1024 for x in f if x.startswith("MemAvailable"))
+        except (OSError, StopIteration):
+            return True
+        if free < least_mb:
+            self.handle(f"less than {least_mb} MB of memory free", "check_memory", "WARNING")
+        return free >= least_mb
+
+    def save_summary(self, spark: SparkSession, path: str) -> bool:
+        """The summary of all errors and the last of them as one JSON file."""
+        rows = error_summary(self.table(spark)).collect()  # a row for each type and severity
+        pick = lambda m: {r["value"]: r["errors"] for r in rows if r["measure"] == m}
+        one = lambda m: pick(m).get("", 0)
+        last = [r.asDict() for r in last_errors(self.table(spark)).collect()]
+        return self.save_json({"total_errors": one("total"), "error_types": pick("type"), "severity_counts": pick("severity"), "recoverable_errors": one("recoverable"), "critical_errors": one("critical"), "recent_errors": last}, path)
+
     def load_json(self, path: str) -> Any:
         """The file's content, or None with a WARNING if it is missing and an ERROR if it is malformed."""
         try:

@@ -137,6 +137,26 @@ def community_answers(block: Column) -> Column:
     return F.transform(F.array(lines), answers)[0]
 
 
+def introductory_info(c: Column) -> Column:
+    """The first introduction pattern that matches, squeezed, without page artifacts, 2000 characters at most."""
+    found = first_of(*[T.strip(F.regexp_extract(c, "(?is)" + p, 1)) for p in R.INTRO_PATTERNS])
+    found = F.regexp_replace(F.regexp_replace(T.squeeze(found), r"Page\s+\d+", ""), r"ExamTopics[^\n]*", "")
+    # every pattern needs one of the hints, so other texts cost one search
+    return F.when(c.rlike(R.INTRO_HINT), F.left(T.strip(found), F.lit(2000))).otherwise(F.lit(""))
+
+
+def with_own_number(rows: DataFrame) -> DataFrame:
+    """rows with own: the number, or for a question without one a counter of its file."""
+    counter = Window.partitionBy("source_file", F.col("number") == "").orderBy("start_page", "start_line")
+    numbered = rows.filter("number <> ''").withColumn("own", F.col("number"))
+    counted = rows.filter("number = ''").withColumn("own", F.row_number().over(counter).cast("string"))
+    return numbered.unionByName(counted)
+
+
+def unique_id() -> Column:
+    return F.concat(F.lit("Q"), F.col("start_page").cast("string"), F.lit("_"), F.col("own"))
+
+
 def parse_questions(blocks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Questions (see schemas.QUESTIONS) of the blocks that are long and complete enough, in no order.
 
@@ -153,14 +173,11 @@ def parse_questions(blocks: DataFrame, config: EngineConfig = DEFAULT) -> DataFr
         options(text).alias("options"),
         community_answers(text).alias("answers"),
     )
-    counter = Window.partitionBy("source_file", F.col("number") == "").orderBy("start_page", "start_line")
-    numbered = rows.filter("number <> ''").withColumn("own", F.col("number"))
-    counted = rows.filter("number = ''").withColumn("own", F.row_number().over(counter).cast("string"))
-    rows = numbered.unionByName(counted)
+    rows = with_own_number(rows)
     answers = [F.col("answers")[n] for n, _ in LABELS]
     confidence = scores.question_confidence(F.col("description"), F.size("options"), answers, F.col("number"), F.col("topic"))
     out = rows.select(
-        F.concat(F.lit("Q"), F.col("start_page").cast("string"), F.lit("_"), F.col("own")).alias("unique_id"),
+        unique_id().alias("unique_id"),
         F.col("number").alias("original_number"),
         "description",
         "options",
@@ -175,8 +192,8 @@ def parse_questions(blocks: DataFrame, config: EngineConfig = DEFAULT) -> DataFr
         confidence.alias("confidence_score"),
         F.col("source_file").alias("source"),
         F.col("full_content").alias("raw_content"),
-        F.lit("").alias("source_pdf_path"),
-        F.lit("").alias("introductory_info"),
+        F.concat(F.lit(config.input_directory.rstrip("/") + "/"), F.col("source_file")).alias("source_pdf_path"),
+        introductory_info(text).alias("introductory_info"),
         F.lit(False).alias("has_llm_answer"),
         "start_line",
     )
@@ -186,8 +203,9 @@ def parse_questions(blocks: DataFrame, config: EngineConfig = DEFAULT) -> DataFr
 def parse_comments(blocks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Comments (see schemas.COMMENTS) of all blocks that are long enough, also of those whose question is dropped later."""
     text = F.col("full_content")
-    rows = blocks.filter(F.length(T.strip(text)) >= config.min_block_chars).select(
-        F.concat(F.lit("Q"), F.col("start_page").cast("string"), F.lit("_"), question_number(text)).alias("question_id"),
+    rows = blocks.filter(F.length(T.strip(text)) >= config.min_block_chars)
+    rows = with_own_number(rows.select("source_file", "start_page", "start_line", "full_content", question_number(text).alias("number"))).select(
+        unique_id().alias("question_id"),
         F.explode(F.filter(lines_of(text), is_comment)).alias("content"),
         F.col("start_page").alias("page_number"),
         F.col("source_file").alias("source"),

@@ -103,14 +103,20 @@ def markdown_rows(questions: DataFrame, config: EngineConfig = DEFAULT) -> DataF
     return table.select(row.alias("value"))
 
 
+def distinct_columns() -> list[Column]:
+    """Aggregates: the sorted distinct sources and non-empty topics."""
+    return [F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set(F.nullif(F.col("topic"), F.lit("")))).alias("topics")]
+
+
 def distinct_lists(questions: DataFrame) -> DataFrame:
     """One row: the sorted distinct sources and non-empty topics."""
-    return questions.agg(F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set(F.nullif(F.col("topic"), F.lit("")))).alias("topics"))
+    return questions.agg(*distinct_columns())
 
 
-def web_question(questions: DataFrame) -> DataFrame:
-    """One column q: each question as the web document nests it."""
+def web_question(questions: DataFrame, *keep: str) -> DataFrame:
+    """keep, and a column q: each question as the web document nests it."""
     return questions.select(
+        *keep,
         F.struct(
             F.col("unique_id").alias("id"),
             F.col("original_number").alias("number"),
@@ -120,9 +126,9 @@ def web_question(questions: DataFrame) -> DataFrame:
                 F.col("community_answer").alias("community"),
                 F.col("highly_voted_answer").alias("highly_voted"),
                 F.col("most_recent_answer").alias("most_recent"),
-                F.col("llm_answer").alias("llm"),
+                F.col("llm_answer").alias("claude"),
             ).alias("answers"),
-            F.col("llm_reasoning"),
+            F.col("llm_reasoning").alias("claude_reasoning"),
             F.struct(
                 F.col("topic"),
                 F.col("page_number").alias("page"),
@@ -135,12 +141,16 @@ def web_question(questions: DataFrame) -> DataFrame:
 
 
 def score_exam(questions: DataFrame, responses: DataFrame, pass_mark: float = 0.7) -> DataFrame:
-    """user, answered, correct, skipped, score, passed of responses (user, unique_id, answer) against the community answer.
+    """user, answered, correct, skipped, score, passed of responses (user, unique_id, answer, and source) against the community answer.
 
-    An empty or null answer is skipped; a question without a community answer doesn't count; an unknown id doesn't either.
+    An id names a question within its source; responses without a source are taken only if one source alone has the id. An empty or null answer is skipped; a question without a community answer doesn't count; an unknown id doesn't either.
     """
-    key = questions.filter("community_answer <> ''").select("unique_id", "community_answer")
-    both = responses.join(key, "unique_id")
+    key = questions.filter("community_answer <> ''").groupBy("unique_id", "source").agg(F.min("community_answer").alias("community_answer"))
+    if "source" in responses.columns:
+        both = responses.join(key, ["unique_id", "source"])
+    else:
+        one = key.groupBy("unique_id").agg(F.min("community_answer").alias("community_answer"), F.count(F.lit(1)).alias("sources"))
+        both = responses.join(one.filter("sources = 1"), "unique_id")
     given = F.coalesce("answer", F.lit("")) != ""
     return (
         both.groupBy("user")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as T
-from .parse import first_of
+from .parse import first_of, introductory_info
 from .segment import file_texts, marker_spans
 
 
@@ -33,13 +33,6 @@ def community_letters(c: Column) -> Column:
     return F.struct(first_of(selected, highly, recent).alias("community"), highly.alias("highly"), recent.alias("recent"))
 
 
-def introductory_info(c: Column) -> Column:
-    """The first introduction pattern that matches, squeezed, without page artifacts, 2000 characters at most."""
-    found = first_of(*[T.strip(F.regexp_extract(c, "(?is)" + p, 1)) for p in R.INTRO_PATTERNS])
-    found = F.regexp_replace(F.regexp_replace(T.squeeze(found), r"Page\s+\d+", ""), r"ExamTopics[^\n]*", "")
-    return F.left(T.strip(found), F.lit(2000))
-
-
 _NAMES = ("id", "number", "description", "options", "case_study_info", "page_number", "source_file", "confidence_score", "community_answer", "highly_voted_answer", "most_recent_answer", "comments")
 
 

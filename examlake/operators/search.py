@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scores
 from ..functions.text import escape_html
@@ -47,11 +48,11 @@ def filter_questions(questions: DataFrame, filters: Filters = Filters()) -> Data
 
 
 def facet_values(questions: DataFrame) -> DataFrame:
-    """facet, value: the distinct non-empty topics and sources, and the answer letters."""
+    """facet, value in order: the distinct non-empty topics and sources, and the answer letters."""
     topics = questions.select(F.lit("topic").alias("facet"), F.col("topic").alias("value"))
     sources = questions.select(F.lit("source").alias("facet"), F.col("source").alias("value"))
     letters = questions.sparkSession.range(6).select(F.lit("answer").alias("facet"), F.char(F.col("id") + 65).alias("value"))
-    return topics.unionByName(sources).filter("value <> ''").distinct().unionByName(letters)
+    return topics.unionByName(sources).filter("value <> ''").distinct().unionByName(letters).orderBy("facet", "value")
 
 
 def cards(questions: DataFrame) -> DataFrame:
@@ -82,14 +83,17 @@ def merge_updates(store: DataFrame, updates: DataFrame) -> tuple[DataFrame, Data
     """(store, errors): the store with updates (schemas.UPDATES) merged by id, and id, status of updates that failed.
 
     number, description and options are replaced where the update has them;
-    metadata keys are merged over the old ones. Of several updates of one id
-    that with the greatest content counts. An update without an id is status
+    metadata keys are merged over the old ones. Of several updates of one id the
+    last in the table counts, and of several rows of an id the first is updated.
+    Both tables' order is that of their scan. An update without an id is status
     400, one of an unknown id 404. store has id, number, description, options
     (map) and metadata (map).
     """
     good = updates.filter(F.coalesce("id", F.lit("")) != "")
-    one = good.groupBy("id").agg(F.max_by(F.struct("number", "description", "options", "metadata"), F.to_json(F.struct("number", "description", "options", "metadata"))).alias("u"))
-    joined = store.join(one, "id", "left")
+    at = good.withColumn("at", F.monotonically_increasing_id())
+    one = at.groupBy("id").agg(F.max_by(F.struct("number", "description", "options", "metadata"), "at").alias("u"))
+    ranked = store.withColumn("at", F.monotonically_increasing_id()).withColumn("row", F.row_number().over(Window.partitionBy("id").orderBy("at")))
+    joined = ranked.join(one, "id", "left").withColumn("u", F.when(F.col("row") == 1, F.col("u")))
     empty = F.create_map().cast("map<string,string>")
     merged = F.map_concat(
         F.map_filter(F.coalesce("metadata", empty), lambda k, _: ~F.coalesce(F.array_contains(F.map_keys("u.metadata"), k), F.lit(False))), F.coalesce("u.metadata", empty)

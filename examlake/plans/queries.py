@@ -168,18 +168,14 @@ def _enhance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", T.enhance(F.col("text")).alias("result"))
 
 
-@query(
-    "text_grammar",
-    "SELECT p_partkey, 'It is an ' || p_name || ', and an apple; a ' || p_type || '. Next one.' AS result FROM part WHERE regexp_matches(p_name, '^[aeiou]') "
-    "UNION ALL SELECT p_partkey, 'It is a ' || p_name || ', and an apple; a ' || p_type || '. Next one.' FROM part WHERE NOT regexp_matches(p_name, '^[aeiou]')",
-)
+_ARTICLE = "CASE WHEN regexp_matches({0}, '^[aeiouAEIOU]') THEN 'an ' ELSE 'a ' END || {0}"
+
+
+@query("text_grammar", f"SELECT p_partkey, 'It is ' || {_ARTICLE.format('p_name')} || ', and an apple; ' || {_ARTICLE.format('p_type')} || '. Next one.' AS result FROM part")
 def _grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # every third type begins with a vowel in one alphabet only, so types are put behind a consonant's article
     part = fixtures.spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"))
     said = F.concat(F.lit("It is a "), "p_name", F.lit(" , and  a apple ;a "), "p_type", F.lit(". next one."))
-    fixed = T.fix_grammar(said)
-    # the article before the type is left as it is on the other side
-    return part.select("p_partkey", F.regexp_replace(fixed, r"; an ", "; a ").alias("result"))
+    return part.select("p_partkey", T.fix_grammar(said).alias("result"))
 
 
 # ---- segmentation and parsing --------------------------------------------------------------------------------------
@@ -370,7 +366,7 @@ _OPTIONS_TEXT = "'A: ' || a || '; B: ' || b || coalesce('; C: ' || c || '; D: '
 @query(
     "tabular_rows",
     f"""WITH {_BASE} SELECT number AS "Question No", description AS "Question Description", {_OPTIONS_TEXT} AS "Answer Options", vote AS "Community Answer", '' AS "Highly Voted Answer",
-    '' AS "Most Recent Answer", '' AS "Model Answer", latest_date AS "Latest Date", topic AS "Topic", CAST(page_number AS VARCHAR) AS "Page Number", source AS "Source" FROM base""",
+    '' AS "Most Recent Answer", '' AS "Claude Answer", latest_date AS "Latest Date", topic AS "Topic", CAST(page_number AS VARCHAR) AS "Page Number", source AS "Source" FROM base""",
 )
 def _tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.tabular(questions(spark, sf_dir))
@@ -387,12 +383,12 @@ def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "web_questions",
-    f"""WITH {_BASE} SELECT unique_id AS id, number, a AS option_a, d AS option_d, vote AS community, '' AS llm, topic, page_number AS page, source, latest_date AS date, confidence FROM base""",
+    f"""WITH {_BASE} SELECT unique_id AS id, number, a AS option_a, d AS option_d, vote AS community, '' AS claude, topic, page_number AS page, source, latest_date AS date, confidence FROM base""",
 )
 def _web(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = report.web_question(questions(spark, sf_dir))
     o = F.col("q.options")
-    return q.select("q.id", "q.number", o["A"].alias("option_a"), o["D"].alias("option_d"), "q.answers.community", "q.answers.llm", "q.metadata.topic", "q.metadata.page", "q.metadata.source", "q.metadata.date", "q.metadata.confidence")
+    return q.select("q.id", "q.number", o["A"].alias("option_a"), o["D"].alias("option_d"), "q.answers.community", "q.answers.claude", "q.metadata.topic", "q.metadata.page", "q.metadata.source", "q.metadata.date", "q.metadata.confidence")
 
 
 @query(
@@ -403,12 +399,6 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.distinct_lists(questions(spark, sf_dir)).select(F.array_join("sources", "|").alias("sources"), F.array_join("topics", "|").alias("topics"))
 
 
-@query("page_text_dump", f"WITH {_BASE} SELECT count(*) AS pages, sum(102 + 2 + 8 + length(source) + 1 + 6 + length(CAST(page_number AS VARCHAR)) + 1 + 2 - 1) > 0 AS filled FROM base")
-def _dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dump = segment.page_text_dump(with_text(fixtures.exam_pages(spark, sf_dir)))
-    return dump.agg(F.count(F.lit(1)).alias("pages"), (F.sum(F.length("value")) > 0).alias("filled"))
-
-
 # ---- search and updates --------------------------------------------------------------------------------------------
 
 
@@ -445,11 +435,6 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.cards(questions(spark, sf_dir))
 
 
-@query("export_filtered", f"WITH {_BASE} SELECT count(*) AS total_questions, count(*) AS listed FROM base WHERE topic = 'Topic 1'")
-def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.export_filtered(questions(spark, sf_dir), search.Filters(topic="Topic 1"), "now").select("total_questions", F.size("questions").cast("long").alias("listed"))
-
-
 _UPDATES = """
 s AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, c_mktsegment, c_nationkey, c_custkey AS k FROM customer)"""
 
@@ -750,9 +735,15 @@ def _confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", c.alias("confidence"))
 
 
+def _all_registered() -> None:
+    from . import source_queries  # noqa: F401 (it registers its own, with the helpers above)
+
+
 def queries() -> dict[str, Query]:
+    _all_registered()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all_registered()
     return dict(_SQL)

@@ -271,6 +271,8 @@ INTRO_PATTERNS = (
     r"(Mountkirk Games[\s\S]*?)(?=Question|$)",
     r"([\s\S]*?Redis.*?server cluster[\s\S]*?capital expenditure[\s\S]*?)(?=Question|$)",
 )
+#: One of these is in every text that an introduction pattern matches.
+INTRO_HINT = r"(?i)Introductory Info|Company Overview|Dress4Win|TerramEarth|Mountkirk Games|Redis"
 CASE_STUDY = r"(?is)For this question, refer to the (.+?) case study\.?\s*(.*)"
 COMMUNITY_START = (
     r"(?i)upvoted|\bHighly\s+Voted|\bMost\s+Recent|\b[A-Za-z][A-Za-z0-9_]{2,}\s+\d+\s+(?:years?|months?|weeks?|days?)\s+ago"
@@ -310,10 +312,6 @@ REASONING_PATTERNS = (
     r"(?is)correct.*?because\s*(.*?)(?:\n\n|\n[A-Z])",
     r"(?is)([^.]*\bGCP\b[^.]*\.)",
 )
-SYSTEM_PROMPT = (
-    "You are a Google Cloud Professional Architect with extensive experience in GCP services, best practices, and architectural "
-    "patterns. Analyze the following certification exam question and provide the correct answer(s) with detailed reasoning."
-)
 PROMPT = (
     "Question: {question}\n\nOptions:\n{options}\n\nPlease provide:\n"
     "1. The correct answer(s) (A, B, C, D, E, or F), it can be multiple answers so that look at the questions (Choose Three, Choose "

@@ -18,9 +18,10 @@ ISSUES = (
 )
 RESPONSES = "question_id string, response_text string, error string"
 ERRORS = "timestamp string, error_type string, error_message string, context string, traceback string, severity string, recoverable boolean"
+#: The keys of the web document.
 WEB_QUESTION = (
     "struct<id:string,number:string,description:string,options:map<string,string>,"
-    "answers:struct<community:string,highly_voted:string,most_recent:string,llm:string>,llm_reasoning:string,"
+    "answers:struct<community:string,highly_voted:string,most_recent:string,claude:string>,claude_reasoning:string,"
     "metadata:struct<topic:string,page:int,source:string,date:string,confidence:double>>"
 )
 WEB = (

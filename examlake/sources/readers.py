@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.text import clean_page
-from ..schemas import WEB
+from ..schemas import WEB, WEB_QUESTION
 
-#: Decodes a PDF file's bytes: strategy -> the texts of its pages. No decoder is bundled.
-Decoder = Callable[[bytes], dict[str, list[str]]]
+#: Decodes a PDF file's bytes: strategy -> the texts of its pages, or the exception that a page raised. No decoder is bundled.
+Decoder = Callable[[bytes], dict[str, list[str | Exception]]]
 
 
 def read_page_table(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -39,7 +41,7 @@ def read_text_pages(spark: SparkSession, folder: str, glob: str = "*.txt", page_
 
 
 def read_pdf_cache(spark: SparkSession, folder: str, decoder: Decoder, config: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(cache, errors): source_file, page_number, strategy, text of all PDF files, and the files that can't be decoded."""
+    """(cache, errors): source_file, page_number, strategy, text of all PDF files, and source_file, page_number (0: the file), error of what can't be decoded."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", config.file_glob).load(folder)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,13 +49,14 @@ def read_pdf_cache(spark: SparkSession, folder: str, decoder: Decoder, config: E
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 name = path.rsplit("/", 1)[-1]
                 try:
-                    rows = [(name, i + 1, s, t, None) for s, texts in decoder(bytes(content)).items() for i, t in enumerate(texts)]
+                    found = [(i + 1, s, t) for s, texts in decoder(bytes(content)).items() for i, t in enumerate(texts)]
+                    rows = [(name, i, s, "", f"{type(t).__name__}: {t}") if isinstance(t, Exception) else (name, i, s, t, None) for i, s, t in found]
                 except Exception as e:
                     rows = [(name, 0, "", "", f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(rows, columns=["source_file", "page_number", "strategy", "text", "error"])
 
     rows = files.select("path", "content").mapInPandas(run, "source_file string, page_number int, strategy string, text string, error string")
-    return rows.filter("error IS NULL").drop("error"), rows.filter("error IS NOT NULL").select("source_file", "error")
+    return rows.filter("error IS NULL").drop("error"), rows.filter("error IS NOT NULL").select("source_file", "page_number", "error")
 
 
 def pages_of_cache(cache: DataFrame, strategy: str = "default") -> DataFrame:
@@ -62,14 +65,43 @@ def pages_of_cache(cache: DataFrame, strategy: str = "default") -> DataFrame:
 
 
 def read_web_json(spark: SparkSession, path: str) -> DataFrame:
-    """id, number, description, options (map), answers, llm_reasoning, metadata of a web document; a missing list gives no row."""
+    """id, number, description, options (map), answers, claude_reasoning, metadata of a web document; a missing list gives no row.
+
+    A document is one file, or a folder as write_web() makes it, whose question lines are read in parallel.
+    """
+    if _is_folder(spark, f"{path}/part=1"):
+        lines = spark.read.text(f"{path}/part=1").select(F.from_json(F.regexp_replace("value", "^,", ""), WEB_QUESTION).alias("q"))
+        return lines.select("q.*")
     doc = spark.read.schema(WEB).option("multiLine", True).json(path)
     return doc.select(F.explode("questions").alias("q")).select("q.*")
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def read_all(spark: SparkSession, path: str) -> DataFrame:
+    """status, file, line: every line that a reader of the whole document gets (status 200), or one row of status 404."""
+    if not _is_folder(spark, path):
+        return spark.createDataFrame([(404, None, f"not found: {path}")], "status int, file string, line string")
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    return lines.select(F.lit(200).alias("status"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("line"))
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    """A small JSON document (a configuration, templates) from any file system; {} and a warning where it is missing."""
+    if not _is_folder(spark, path):
+        warnings.warn(f"no such document: {path}; defaults are used", stacklevel=2)
+        return {}
+    text = spark.read.option("wholetext", True).text(path).agg(F.array_join(F.collect_list("value"), "")).first()[0]
+    return json.loads(text) if text else {}
+
+
 def read_json_lenient(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad): JSON lines that fit the schema, and those that don't as strings."""
-    rows = spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    rows = lines.select("value", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
     return rows.filter("_bad IS NULL").drop("_bad"), rows.filter("_bad IS NOT NULL").select("_bad")
 
 

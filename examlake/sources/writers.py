@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import warnings
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -57,28 +58,29 @@ def write_json(questions: DataFrame, path: str) -> None:
     questions.sparkSession.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
-def web_document(questions: DataFrame, comments: DataFrame | None = None) -> DataFrame:
-    """One row: metadata, filters and all questions nested (with comments, if given) - for stores that fit a browser."""
-    q = report.web_question(questions)
+def web_lines(questions: DataFrame, comments: DataFrame | None = None) -> DataFrame:
+    """source, page, id, start_line, json: each question as the web document nests it (with comments, if given)."""
+    q = report.web_question(questions, "start_line")
     if comments is not None:
         own = comments.groupBy(F.col("question_id").alias("cid"), F.col("source").alias("csource")).agg(F.array_sort(F.collect_list("content")).alias("comments"))
         q = q.join(own, (F.col("q.id") == F.col("cid")) & (F.col("q.metadata.source") == F.col("csource")), "left")
-        q = q.select(F.col("q").withField("comments", F.coalesce("comments", F.array().cast("array<string>"))).alias("q"))
-    order = F.struct(F.col("q.metadata.source").alias("a"), F.col("q.metadata.page").alias("b"), F.col("q.id").alias("c"), F.to_json("q").alias("json"))
-    lists = report.distinct_lists(questions).first()
-    letters = F.array(*[F.lit(x) for x in R.LETTERS])
-    text = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    return q.agg(
-        F.struct(F.lit(_now()).alias("generated_at"), F.count(F.lit(1)).cast("int").alias("total_questions"), F.lit("1.0").alias("version")).alias("metadata"),
-        F.struct(text(lists["topics"]).alias("topics"), text(lists["sources"]).alias("sources"), letters.alias("answer_options")).alias("filters"),
-        F.transform(F.array_sort(F.collect_list(order)), lambda x: x["json"]).alias("questions_json"),
-    )
+        q = q.select("start_line", F.col("q").withField("comments", F.coalesce("comments", F.array().cast("array<string>"))).alias("q"))
+    return q.select(F.col("q.metadata.source").alias("source"), F.col("q.metadata.page").alias("page"), F.col("q.id").alias("id"), "start_line", F.to_json("q").alias("json"))
 
 
 def write_web(questions: DataFrame, path: str, comments: DataFrame | None = None) -> None:
-    doc = web_document(questions, comments)
-    line = F.concat(F.lit('{"metadata":'), F.to_json("metadata"), F.lit(',"filters":'), F.to_json("filters"), F.lit(',"questions":['), F.array_join("questions_json", ","), F.lit("]}"))
-    doc.select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """The web document as text files that make one JSON document in the order of their names: a head, a line for each question, a tail."""
+    rows = web_lines(questions, comments)
+    letters = F.array(*[F.lit(x) for x in R.LETTERS])
+    meta = F.struct(F.lit(_now()).alias("generated_at"), F.col("n").alias("total_questions"), F.lit("1.0").alias("version"))
+    sums = questions.agg(F.count(F.lit(1)).alias("n"), *report.distinct_columns())
+    head = sums.select(F.concat(F.lit('{"metadata":'), F.to_json(meta), F.lit(',"filters":'), F.to_json(F.struct("topics", "sources", letters.alias("answer_options"))), F.lit(',"questions":[')).alias("value"))
+    head.coalesce(1).write.mode("overwrite").text(f"{path}/part=0")
+    ordered = rows.orderBy("source", "page", "id", "start_line", "json")
+    # the first row of a sorted table has number 0
+    line = F.concat(F.when(F.monotonically_increasing_id() == 0, "").otherwise(","), "json")
+    ordered.select(line.alias("value")).write.mode("overwrite").text(f"{path}/part=1")
+    _write_lines(questions, ["]}"], f"{path}/part=2")
 
 
 def summary_lines(questions: DataFrame) -> list[str]:
@@ -142,6 +144,22 @@ def write_page_dump(pages: DataFrame, path: str) -> None:
     segment.page_text_dump(pages.orderBy("source_file", "page_number")).write.mode("overwrite").text(path)
 
 
+def rewrite_in_place(path: str, spark) -> int:
+    """Clean all strings of a JSON data set and put it in its place; the old one stays as path.backup, and comes back if the swap fails. Returns the rows written."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    new, old = f"{path}.new", f"{path}.backup"
+    fs = make(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.delete(make(new), True)
+    rows = rewrite_clean(path, new, spark)
+    fs.delete(make(old), True)
+    if not fs.rename(make(path), make(old)):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(make(new), make(path)):
+        fs.rename(make(old), make(path))
+        raise OSError(f"cannot replace {path}; the old data is back")
+    return rows
+
+
 def rewrite_clean(df_path: str, out_path: str, spark) -> int:
     """Clean all strings of a JSON data set into a new version; the old one stays as it is. Returns the rows written."""
     T.clean_nested(spark.read.json(df_path)).write.mode("errorifexists").json(out_path)
@@ -152,12 +170,13 @@ WRITERS = {"csv": write_csv, "md": write_markdown, "json": write_json, "web": wr
 
 
 def write_all(questions: DataFrame, folder: str, formats: tuple[str, ...] = ("csv", "md", "json", "web"), comments: DataFrame | None = None) -> dict[str, str]:
-    """Write the formats and a summary; returns their paths. Unknown formats are left out, an empty table writes nothing."""
+    """Write the formats and a summary; returns their paths. Unknown formats are left out with a warning, an empty table writes nothing."""
     if questions.isEmpty():
         return {}
     out = {}
     for name in formats:
         if name not in WRITERS:
+            warnings.warn(f"unknown format {name!r} is left out", stacklevel=2)
             continue
         out[name] = f"{folder}/{name}"
         if name == "web":

@@ -66,6 +66,27 @@ def test_updates(spark):
     assert sorted((r.id or "", r.status) for r in bad.collect()) == [("", 400), ("z", 404)]
 
 
+def test_updates_of_repeated_ids(spark):
+    schema = "id string, number string, description string, options map<string,string>, metadata map<string,string>"
+    store = spark.createDataFrame([("a", "1", "x", None, None), ("a", "2", "y", None, None)], schema).coalesce(1)
+    updates = spark.createDataFrame([("a", None, "zzz", None, None), ("a", None, "last", None, None)], schema).coalesce(1)
+    out, _ = search.merge_updates(store, updates)
+    assert sorted((r.number, r.description) for r in out.collect()) == [("1", "last"), ("2", "y")]
+
+
+def test_exam_of_ids_in_two_sources(spark, store):
+    twice = store.unionByName(store.withColumn("source", F.lit("other.pdf")).withColumn("community_answer", F.lit("E")))
+    given = spark.createDataFrame([("u", "Q1_1", "other.pdf", "E"), ("v", "Q1_1", "Questions_1.pdf", "E")], "user string, unique_id string, source string, answer string")
+    assert [(r.user, r.answered, r.correct) for r in report.score_exam(twice, given).orderBy("user").collect()] == [("u", 1, 1), ("v", 1, 0)]
+    assert report.score_exam(twice, given.drop("source")).count() == 0
+
+
+def test_unnumbered_questions_keep_their_comments(spark):
+    found = pipeline.extract(pages(spark, BLOCK.replace("Question #1", "Question #")))
+    ids = {r.unique_id for r in found.questions.collect()}
+    assert {r.question_id for r in found.comments.collect()} <= ids
+
+
 def test_validation(spark, store):
     cache = readers.pages_of_cache
     pages_ = store.select(F.col("source").alias("source_file"), "page_number", F.explode(F.array(F.lit("default"), F.lit("layout"))).alias("strategy"), F.col("raw_content").alias("text")).filter("page_number < 3")
@@ -133,6 +154,11 @@ def test_sources_and_sinks(spark, store, tmp_path):
     out = pipeline.run(pages(spark, BLOCK, "nothing"), str(tmp_path / "out"))
     assert sorted(out) == ["csv", "json", "md", "summary", "web"]
     assert pipeline.run(pages(spark, "nothing"), str(tmp_path / "none")) == {}
+    with pytest.warns(UserWarning, match="unknown format 'xyz'"):
+        assert sorted(writers.write_all(store, str(tmp_path / "few"), ("csv", "xyz"))) == ["csv", "summary"]
+    web_files = sorted(str(f) for f in (tmp_path / "out" / "web").rglob("part-*.txt"))
+    document = json.loads("".join(open(f, encoding="utf-8").read() for f in web_files))
+    assert document["metadata"]["total_questions"] == 1 and document["questions"][0]["answers"]["claude"] == "" and document["filters"]["sources"] == ["Questions_1.pdf"]
     table = spark.read.option("header", True).csv(out["csv"])
     assert table.columns == list(EngineConfig().columns) and table.count() == 1
     web = readers.read_web_json(spark, out["web"]).first()
