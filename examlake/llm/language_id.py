@@ -32,6 +32,8 @@ LOOKED_UP = CHUNK * 65
 FIT_ROWS = 400
 #: Parts that a language's rows are ranked in first.
 PARTS = 16
+#: Rows of the sample, up to which its hashes are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Longer texts are taken into that sample, shortest first, only where a language has too few others.
 FIT_CHARS = 20_000
 #: A text's trigrams lean on each other; beyond this many, evidence grows no more.
@@ -107,7 +109,9 @@ def fit_text_model(labelled: DataFrame, fit_rows: int = FIT_ROWS, text: str = "t
     first = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("long", "h"))).filter(F.col("rank") <= fit_rows).drop("rank")
     parted = rows.select("lang", "long", "h").distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
     taken = first(first(parted, "lang", "part"), "lang").select("lang", "h")
-    sample = rows.join(taken, ["lang", "h"]).groupBy("lang", "h").agg(F.min("t").alias("t")).select("lang", "t")
+    taken = materialize(taken, "language-sample")
+    few = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken  # so that texts stay where they are
+    sample = rows.join(few, ["lang", "h"]).groupBy("lang", "h").agg(F.min("t").alias("t")).select("lang", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, n = None, np.zeros(SLOTS, np.int64)
