@@ -100,6 +100,26 @@ def test_members_of_a_group_that_link_past_its_head(spark):
     assert [(i, got[i]) for i, _ in linked] == linked
 
 
+def test_members_that_link_past_their_head_at_many_sizes(spark):
+    words = [f"u{i}" for i in range(6000)]
+    by_hash = [words[i] for i in np.argsort([s[0] for s in Shingler(1).sets(pa.array(words))])]
+    rows, want, at = [], {}, 0
+    for n in (8, 9, 13, 24, 50, 100):
+        prefix = n - -(-3 * n // 4) + 1
+        for head in range(3):  # the text with a frequent word has the fewest rare ones and becomes the head
+            w, at = by_hash[at : at + 3 * n], at + 3 * n
+            own = n - prefix
+            h, b = w[:prefix] + w[prefix : prefix + own], w[:prefix] + w[prefix + own : prefix + 2 * own]
+            c = b[:-1] + [w[-1]]
+            (h, b, c)[head][-1] = "often"
+            i = len(rows)
+            rows += [(i + k, " ".join(t), "", "") for k, t in enumerate((h, b, c))]
+            want |= {i: i, i + 1: i + 1, i + 2: i + 1}
+    rows += [(9000 + i, " ".join(["often"] + [f"f{i}x{j}" for j in range(9)]), "", "") for i in range(20)]
+    got = {r.doc_id: r.component_id for r in jaccard_join(spark.createDataFrame(rows, SCHEMA).coalesce(1), words=1).collect()}
+    assert {i: got[i] for i in want} == want
+
+
 def test_empty_table(spark):
     assert jaccard_join(spark.createDataFrame([], SCHEMA)).count() == 0
 
