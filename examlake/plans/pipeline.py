@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,12 @@ from ..sources.writers import write_all
 class Extraction:
     questions: DataFrame
     comments: DataFrame
-    duplicates: DataFrame
+
+    @cached_property
+    def duplicates(self) -> DataFrame:
+        """Pairs of near-duplicate questions; they are looked for when this is first read."""
+        keyed = self.questions.withColumn("key", F.concat_ws("|", "source", "unique_id", F.col("start_line").cast("string")))
+        return duplicate_pairs(keyed, "key")
 
 
 def enhance_questions(questions: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -41,8 +47,7 @@ def extract(pages: DataFrame, responses: DataFrame | None = None, config: Engine
         questions = enhance_questions(questions, config)
     if responses is not None and config.use_model:
         questions = apply_responses(questions, parse_responses(responses))
-    keyed = questions.withColumn("key", F.concat_ws("|", "source", "unique_id", F.col("start_line").cast("string")))
-    return Extraction(questions, parse_comments(blocks, config), duplicate_pairs(keyed, "key"))
+    return Extraction(questions, parse_comments(blocks, config))
 
 
 def run(pages: DataFrame, folder: str, formats: tuple[str, ...] = ("csv", "md", "json", "web"), responses: DataFrame | None = None, config: EngineConfig = DEFAULT) -> dict[str, str]:
