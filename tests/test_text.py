@@ -69,3 +69,11 @@ def test_enhancement_check(spark):
     df = spark.createDataFrame([("BigQuery has 10 parts", "it has lo parts"), ("same", "same")], "a string, b string")
     one, two = [r[0] for r in df.select(T.enhancement_check(F.col("a"), F.col("b"))).collect()]
     assert one.numbers_changed and one.terms_lost and one.valid and two.valid and not two.numbers_changed
+
+
+def test_a_lost_term_counts_beside_one_within_a_word(spark):
+    rows = [("key AKIAMD62 BigQuery 17", "key AKIAMD62 x 17"), ("UNGKEIT BigQuery", "UNGKEIT BigQuery"), ("a diamond", "a diamond"), ("a bigquery", "a table"), ("no term", "none"), (None, None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    lost = lambda **given: [r[0] for r in df.select(T.enhancement_check(F.col("a"), F.col("b"), **given)["terms_lost"]).collect()]
+    assert lost() == [True, False, True, True, False, None]
+    assert lost(rule_set="reference") == [False, False, True, True, False, None]
