@@ -136,18 +136,23 @@ def word_signatures(rows: DataFrame, levels: np.ndarray, num: int, den: int) ->
 
 
 def met_pairs(signatures: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, key: all nodes that can link, a's set not larger than b's, and the least word that their prefixes share."""
-    words = signatures.select("f", "n", "short", F.explode("prefix").alias("x")).select("x.w", "f", "n", "short", "x.i")
-    words = words.repartition("w").groupBy("w", "f").agg(F.min("n").alias("n"), F.min("short").alias("short"), F.min("i").alias("i"))
-    a = words.filter("i < short").select("w", F.col("f").alias("a"), F.col("n").alias("n_a"), F.col("i").alias("i_a"))
-    b = words.select(F.col("w").alias("w_b"), F.col("f").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"))
-    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    close = F.col("n_a") * den >= F.col("n_b") * num
+    """a, b, key: all nodes that can link, a's set not larger than b's, and half the hash of the least word that their prefixes share."""
+    # n, place and whether it is in the index prefix in one number: both sides of the join need the same columns, and so share one shuffle
+    packed = F.shiftleft("n", 32).bitwiseOR(F.shiftleft(F.col("x.i").cast("long"), 1)).bitwiseOR((F.col("x.i") < F.col("short")).cast("long"))
+    words = signatures.select("f", "n", "short", F.explode("prefix").alias("x")).select("x.w", "f", packed.alias("p"))
+    words = words.repartition("w").groupBy("w", "f").agg(F.min("p").alias("p"))
+    a = words.filter(F.col("p").bitwiseAND(F.lit(1)) == 1).select("w", F.col("f").alias("a"), F.col("p").alias("p_a"))
+    b = words.select(F.col("w").alias("w_b"), F.col("f").alias("b"), F.col("p").alias("p_b"))
+    n_a, n_b = F.shiftright("p_a", 32), F.shiftright("p_b", 32)
+    i_a, i_b = (F.shiftright(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)), 1) for c in ("p_a", "p_b"))
+    smaller = (n_a < n_b) | ((n_a == n_b) & (F.col("a") < F.col("b")))
     # holds for the first SHARED words that two linked sets share
-    enough = (F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) + SHARED - 1) * (num + den) >= num * (F.col("n_a") + F.col("n_b"))
-    met = a.join(b, (F.col("w") == F.col("w_b")) & smaller & close & enough)
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("same"), F.min("w").alias("key"), F.min(F.col("n_a") + F.col("n_b")).alias("total"))
-    return met.filter((F.col("same") >= SHARED) | (F.col("same") * (num + den) >= num * F.col("total"))).select("a", "b", "key")
+    enough = (F.least(n_a - i_a, n_b - i_b) + SHARED - 1) * (num + den) >= num * (n_a + n_b)
+    met = a.join(b, (F.col("w") == F.col("w_b")) & smaller & (n_a * den >= n_b * num) & enough)
+    least = F.least(F.lit(SHARED).cast("long"), F.floor((num * (n_a + n_b) + num + den - 1) / F.lit(num + den)))
+    met = met.select("a", "b", F.shiftright("w", 32).cast("int").alias("key"), least.alias("least"))
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("same"), F.min("key").alias("key"), F.min("least").alias("least"))
+    return met.filter("same >= least").select("a", "b", "key")
 
 
 def verified_pairs(met: DataFrame, signatures: DataFrame, rows: DataFrame, num: int, den: int, folder: str) -> DataFrame:
